@@ -47,3 +47,46 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``fn`` over the rows of each value of ``keys``, which callers keep to a bounded number.
+
+    Sorted partitions are read as a stream and only one group is held at a
+    time; many small groups cost no more than their rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now: tuple | None = None
+        ready: list[pa.RecordBatch] = []
+
+        def close() -> None:
+            if held and (out := fn(pa.Table.from_batches(held))) is not None and out.num_rows:
+                ready.append(out)
+            held.clear()
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(k) for k in keys]
+            change = None
+            for c in cols:
+                values = c.to_numpy(zero_copy_only=False)
+                c = values[1:] != values[:-1]
+                change = c if change is None else change | c
+            edges = [0, *(change.nonzero()[0] + 1).tolist(), n]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(c[a].as_py() for c in cols)
+                if key != now:
+                    close()
+                    now = key
+                held.append(batch.slice(a, b - a))
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready = []
+        close()
+        yield from ready
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, quality, span_dedup, url_filter
+from . import chat, line_dedup, minhash, packing, quality, span_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -78,6 +78,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 4-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_span_dedup": op3_span_dedup,
     "op4_url_filter": op4_url_filter,
     "op7_packing": op7_packing,
+    "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL}
