@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, packing, quality, span_dedup, url_filter
+from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -73,6 +73,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_span_dedup": op3_span_dedup,
     "op4_url_filter": op4_url_filter,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
