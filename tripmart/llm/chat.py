@@ -74,7 +74,11 @@ def encode_turn(role: str, text: str, enc) -> tuple[np.ndarray, np.ndarray]:
 def decode(ids: np.ndarray, enc) -> str:
     """The formatted text of ids, reserved ones included."""
     own = {v: k.encode() for k, v in reserved(enc).items()}
-    return b"".join(own[i] if i in own else enc.decode_single_token_bytes(i) for i in ids.tolist()).decode()
+    out, at = [], 0
+    for k in np.flatnonzero(ids > enc.max_token_value).tolist():
+        out += [enc.decode_bytes(ids[at:k].tolist()), own[int(ids[k])]]
+        at = k + 1
+    return b"".join([*out, enc.decode_bytes(ids[at:].tolist())]).decode()
 
 
 def read_turn(ids: np.ndarray, enc) -> tuple[str, str]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LENGTH, GROUP, CLOSING_ID, CACHE_WORDS = 2048, 4096, 1, 200_000
+LENGTH, GROUP, CLOSING_ID, CACHE_WORDS = 2048, 4096, 1, 500_000
 
 
 @functools.cache
@@ -42,30 +43,58 @@ def _tokenizer(path: str | None):
     return tok
 
 
-class Ids:
-    """Little-endian 32-bit ids of texts; remembers the ids of up to ``CACHE_WORDS`` words.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1 for itself, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class Ids(dict):
+    """Little-endian 32-bit ids of words; remembers up to ``CACHE_WORDS`` of them.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
-    so a text's ids are the ids of its words in turn.
+    so a text's ids are the ids of its words in turn. Words of Latin letters
+    with punctuation behind them are two pieces for the merges; all others go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None):
-        self.tok, self.known = _tokenizer(path), {}
+        super().__init__()
+        self.tok, self.pieces = _tokenizer(path), {}
+        self.merge = self.tok.model.tokenize
+
+    def piece(self, text: str) -> bytes:
+        if (found := self.pieces.get(text)) is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            letters = text if text.isascii() else "".join(_LETTERS[b] for b in text.encode())
+            found = self.pieces[text] = np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if parts := _WORD.fullmatch(text):
+            ids = self.piece(parts[1].lower()) + (self.piece(parts[2]) if parts[2] else b"")
+        else:
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))  # bytes: splits at ASCII white space only
 
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-        for word, enc in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(enc.ids, "<u4").tobytes()
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            found = (text or "").encode().split()  # bytes: splits at ASCII white space only
-            if missing := set(found).difference(self.known):
-                self.learn(list(missing))
-                if not self.known.keys() >= set(found):
-                    self.learn(list(set(found)))
-            yield b"".join(map(self.known.__getitem__, found))
+@functools.cache
+def known_ids(path: str | None) -> Ids:
+    """One table a Python worker, kept from task to task."""
+    return Ids(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -73,11 +102,11 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer)
+        ids = known_ids(tokenizer)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         for batch in batches:
             rows, starts, sizes, crcs, totals, wholes = [], [], [], [], [], []
-            for row, body in enumerate(ids.of(batch.column("text").to_pylist())):
+            for row, body in enumerate(map(ids.of, batch.column("text").to_pylist())):
                 body += closing
                 total, whole = len(body) // 4, zlib.crc32(body)
                 for at in range(0, total, length):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, url_filter
+from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -93,6 +93,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when all 400-byte strings that occur twice are gone."""
+    out = suffix_dedup.drop_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -102,5 +108,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL}
