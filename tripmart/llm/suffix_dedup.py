@@ -2,8 +2,9 @@
 
 A suffix array over all bytes of a corpus costs some tens of bytes of shuffle a
 byte, so the text is sieved first, without loss. The 400 bytes at a position
-have an anchor: the smallest hash among their 32-byte substrings. Equal strings
-have equal anchors. Neighbouring positions mostly share theirs; such a run of
+have an anchor: the 32-byte substring among them with the smallest hash, the
+leftmost if several. Equal strings have equal anchors at the same place.
+Neighbouring positions mostly share theirs; such a run of
 positions with the bytes they look at is a context. A context whose anchor
 occurs once in the corpus has no twin. Equal contexts are all twins of each
 other and are settled by counting. What is left are different contexts of one
@@ -39,7 +40,7 @@ from .common import arrow_map, cut
 from .text import _CODES, mix, powers, slices
 
 LENGTH, SEED, LARGE, BLOCK_BYTES = 400, 32, 4096, 1 << 20
-_MOST = np.iinfo(np.uint64).max
+_MOST, _UPPER = np.iinfo(np.uint64).max, np.uint64(0xFFFFFFFF00000000)
 
 
 def _window_hashes(buf: np.ndarray, length: int, codes: np.ndarray = _CODES) -> np.ndarray:
@@ -73,7 +74,8 @@ def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
             if len(buf) < length:
                 continue
             n = len(buf) - length + 1
-            least = _sliding_min(_window_hashes(buf, seed), length - seed + 1)
+            h = _window_hashes(buf, seed)
+            least = _sliding_min((h & _UPPER) | np.arange(len(h), dtype=np.uint64), length - seed + 1)  # of equal ones the leftmost
             doc = np.repeat(np.arange(hi - lo), np.diff(offsets))[:n]
             whole = offsets[doc + 1] - np.arange(n) >= length
             new = np.ones(n, bool)
@@ -89,7 +91,7 @@ def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 np.cumsum(codes[buf] * up[:-1], out=sums[1:])
                 hashes.append(mix((sums[stop - 1 + length] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64)))
             rows.append(doc[begin] + lo)
-            parts.append((begin - offsets[doc[begin]], stop - begin, least[begin].view(np.int64), *(h.view(np.int64) for h in hashes)))
+            parts.append((begin - offsets[doc[begin]], stop - begin, h[(least[begin] & ~_UPPER).astype(np.int64)].view(np.int64), *(x.view(np.int64) for x in hashes)))
         at = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c.astype(np.int64)) for c in cols)], names=list(names))
