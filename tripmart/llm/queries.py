@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
+from . import chat, decontaminate, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -73,6 +73,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in every document, with the best and its score."""
+    out = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    best = F.get("matches", 0)
+    return out.select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"),
+        best["item"].alias("best_item"), best["score"].alias("best_score"), F.transform("matches", lambda m: m["item"]).alias("items"),
+    )
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -104,6 +114,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_span_dedup": op3_span_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
