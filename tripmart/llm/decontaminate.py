@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Runs of four words of each test item are seeds where they are rare: where the
+Words are compared in lower case and without punctuation. Runs of four words of
+each test item are seeds where they are rare: where the
 product of their words' shares of the whole corpus is at most ``RARE``; the
 eight rarest of an item always are. Words are counted over all documents, and
 the product tells common phrases from a leak that itself is frequent. A seed
@@ -23,15 +24,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, record
-from .text import ngrams, slices, word_hashes, words
+from .text import IS_SPACE, ngrams, slices, word_hashes
+from .text import words as split_words
 
 N, RARE, AT_LEAST, THRESHOLD, MARGIN, PART_WORDS = 4, 1e-8, 8, 0.5, 8, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BITS = 20
+#: White space and ASCII punctuation part words.
+_GAPS = IS_SPACE.copy()
+_GAPS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return split_words(buf, offsets, _GAPS)
+
+
+def lowered(column: pa.Array):
+    """Slices of the texts in lower case, letters beyond ASCII included."""
+    return slices(pc.utf8_lower(column))
 
 
 class Items:
@@ -41,7 +56,7 @@ class Items:
         self.ids, self.words = [], []
         seeds, places = [], []
         for item, text in zip(ids, texts, strict=True):
-            for _, _, buf, offsets in slices(pa.array([text])):
+            for _, _, buf, offsets in lowered(pa.array([text])):
                 starts, ends, first = words(buf, offsets)
                 h = word_hashes(buf, starts, ends)
                 if len(h) < N:
@@ -109,7 +124,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 def matches(column: pa.Array, items: Items) -> list[dict[int, float]]:
     """For each text the items that seeds place there, with their best alignment scores."""
     out: list[dict[int, float]] = [{} for _ in range(len(column))]
-    for lo, _, buf, offsets in slices(column):
+    for lo, _, buf, offsets in lowered(column):
         starts, ends, first = words(buf, offsets)
         if len(starts) < N:
             continue
@@ -144,7 +159,7 @@ def word_shares(docs: DataFrame, wanted: np.ndarray) -> dict[int, float]:
         counts = np.zeros(len(known) + 1, np.int64)
         maybe = np.zeros(1 << _BITS, bool)
         maybe[(known >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        for _, _, buf, offsets in slices(batch.column("text")):
+        for _, _, buf, offsets in lowered(batch.column("text")):
             starts, ends, _ = words(buf, offsets)
             h = word_hashes(buf, starts, ends)
             total += len(h)
@@ -175,7 +190,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, pa
             continue
         texts = [r["text"] for r in rows]
         seen = [np.empty(0, np.uint64)]
-        for _, _, buf, offsets in slices(pa.array(texts)):
+        for _, _, buf, offsets in lowered(pa.array(texts)):
             starts, ends, _ = words(buf, offsets)
             seen.append(word_hashes(buf, starts, ends))
         wanted = np.unique(np.concatenate(seen))

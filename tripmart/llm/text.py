@@ -66,11 +66,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of each row's first word (one more than rows)."""
+def words(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes outside ``gaps``, and the index of each row's first one (one more than rows)."""
     if not len(buf):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[buf]
+    inside = ~gaps[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(buf), bool)
