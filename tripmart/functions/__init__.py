@@ -1,0 +1 @@
+"""Column expressions; all built-in, so they stay inside generated code."""

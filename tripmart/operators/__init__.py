@@ -1,0 +1 @@
+"""Row preparation, quality flags, measures, windows, upserts and generic checks."""

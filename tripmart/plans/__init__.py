@@ -1,0 +1 @@
+"""The warehouse layers as functions from DataFrames to DataFrames."""
