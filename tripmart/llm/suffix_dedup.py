@@ -21,8 +21,8 @@ its strings are named by 128 bits of hash each and counted by Spark.
 Defined results: null text is empty; matches never cross documents; texts of
 fewer than 400 bytes lose nothing and match nothing; repeated rows are copies
 of each other, so their long strings go from all of them; a null doc_id is a
-document like others; extra columns are kept; an empty table gives an empty
-result. Where the bytes that stay are not valid UTF-8, their hash and counts are
+document like others; extra columns are kept, but for the four of the
+result, which are replaced; an empty table gives an empty result. Where the bytes that stay are not valid UTF-8, their hash and counts are
 still those of the bytes; only the text shown replaces the damaged characters.
 """
 
@@ -107,44 +107,50 @@ def suffix_order(s: np.ndarray, top: int, depth: int) -> np.ndarray:
     """
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    padded = np.zeros(n + 4, np.int64)
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    padded = np.zeros(n + 4, np.int32)
     padded[:n] = s
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sampled = np.concatenate([ones, twos])
+    del s
+    sampled = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
     base = top + 1
-    pairs = padded[sampled] * base + padded[sampled + 1]
+    wide = lambda at: padded[at].astype(np.int64)
+    key = wide(sampled) * base + padded[sampled + 1]
     if base**3 >= 2**62:
-        pairs = np.unique(pairs, return_inverse=True)[1]
-    triples = pairs * base + padded[sampled + 2]
-    order = np.argsort(triples, kind="stable")
-    changes = np.ones(len(order), np.int64)
-    changes[1:] = triples[order][1:] != triples[order][:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(changes)
-    if names[order[-1]] < len(order) and depth > 3:
-        order = suffix_order(names, int(names[order[-1]]), -(-depth // 3))
-    rank = np.zeros(n + 4, np.int64)
-    rank[sampled[order]] = np.arange(1, len(order) + 1)
+        key = np.unique(key, return_inverse=True)[1]
+    key = key * base + padded[sampled + 2]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    names = np.empty(len(order), np.int32)
+    names[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
+    del key
+    most = int(names[order[-1]])
+    if most < len(order) and depth > 3:
+        del order
+        order = suffix_order(names, most, -(-depth // 3))
+    del names
+    rank = np.zeros(n + 4, np.int32)
+    rank[sampled[order]] = np.arange(1, len(order) + 1, dtype=np.int32)
     order = sampled[order]
     order = order[order < n]
-    most = len(sampled) + 2
-    zeros = np.arange(0, n, 3)
-    zero_key = padded[zeros] * most + rank[zeros + 1]
-    by = np.argsort(zero_key, kind="stable")
-    zeros, zero_key = zeros[by], zero_key[by]
-    first = order[order % 3 == 1]
-    second = order[order % 3 == 2]
+    many = len(sampled) + 2
+    del sampled
+    zeros = np.arange(0, n, 3, dtype=np.int32)
+    key = wide(zeros) * many + rank[zeros + 1]
+    by = np.argsort(key, kind="stable")
+    zeros, key = zeros[by], key[by]
+    del by
+    first, second = order[order % 3 == 1], order[order % 3 == 2]
     # where comparison was cut off, keys of equal suffixes may not rise: their running maximum does
-    less = np.searchsorted(np.maximum.accumulate(padded[first] * most + rank[first + 1]), zero_key)
-    if base * base < 2**62 // most:
-        mine, theirs = padded[second] * base + padded[second + 1], padded[zeros] * base + padded[zeros + 1]
-    else:  # pairs of values get names first, so that a key fits 63 bits
-        _, pairs = np.unique(np.concatenate([padded[second] * base + padded[second + 1], padded[zeros] * base + padded[zeros + 1]]), return_inverse=True)
+    less = np.searchsorted(np.maximum.accumulate(wide(first) * many + rank[first + 1]), key)
+    del key, first
+    mine, theirs = wide(second) * base + padded[second + 1], wide(zeros) * base + padded[zeros + 1]
+    if base * base >= 2**62 // many:  # pairs of values get names first, so that a key fits 63 bits
+        pairs = np.unique(np.concatenate([mine, theirs]), return_inverse=True)[1]
         mine, theirs = pairs[: len(second)], pairs[len(second) :]
-    less += np.searchsorted(np.maximum.accumulate(mine * most + rank[second + 2]), theirs * most + rank[zeros + 2])
+    less += np.searchsorted(np.maximum.accumulate(mine * many + rank[second + 2]), theirs * many + rank[zeros + 2])
+    del mine, theirs, second, rank, padded
     less = np.maximum.accumulate(less)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     out[np.arange(len(zeros)) + less] = zeros
     out[np.arange(len(order)) + np.searchsorted(less, np.arange(len(order)), "right")] = order
     return out
@@ -159,7 +165,7 @@ def twins(texts: list[bytes], runs: np.ndarray, length: int) -> np.ndarray:
     starts = np.repeat(opens - (np.cumsum(runs) - runs), runs) + np.arange(total)
     place = np.full(len(buf), -1, np.int64)
     place[starts] = np.arange(total)
-    order = suffix_order(buf.astype(np.int64) + 1, 256, length)
+    order = suffix_order(buf.astype(np.int32) + 1, 256, length)
     order = order[place[order] >= 0]
     h = _window_hashes(buf, length)[order]
     same = h[1:] == h[:-1]
@@ -191,7 +197,7 @@ def _spans(batch: pa.Table, held: list[tuple[int, np.ndarray]], starts: np.ndarr
 
 
 def sorted_twins(rows: DataFrame, length: int) -> DataFrame:
-    """Covered bytes of contexts (doc_id, text_hash, start, run, anchor, bytes) of anchors with a bounded number of them."""
+    """Covered bytes of contexts (doc_id, text_hash, start, run, anchor, x, bytes) of anchors with a bounded number x of them."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -205,10 +211,10 @@ def sorted_twins(rows: DataFrame, length: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
-            anchors = batch.column("anchor").to_numpy()
+            anchors, known = batch.column("anchor").to_numpy(), batch.column("x").to_numpy()
             edges = [0, *(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if size > BLOCK_BYTES and anchors[a] != last:
+                if held and anchors[a] != last and size + known[a] * 3 * length // 2 > BLOCK_BYTES:  # the group's bytes, about
                     yield solve(pa.Table.from_batches(held))
                     held, size = [], 0
                 last = anchors[a]
@@ -270,7 +276,7 @@ def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED, large: int
 
     joined = docs.join(per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "asked"), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "asked")
     fetched = cut(arrow_map(joined, fetch, f"doc_id {kind}, text_hash long, start long, run long, anchor long, x long, bytes binary"), "context-bytes")
-    own = ("doc_id", "text_hash", "start", "run", "anchor", "bytes")
+    own = ("doc_id", "text_hash", "start", "run", "anchor", "x", "bytes")
     out = settled.unionByName(sorted_twins(fetched.where(F.col("x") <= large).select(*own), length))
     huge = fetched.where(F.col("x") > large).select(*own)
     return out if huge.isEmpty() else out.unionByName(counted_twins(huge, length))
@@ -278,9 +284,10 @@ def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED, large: int
 
 def drop_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_bytes, n_removed, n_spans and kept_sha256."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
     columns = docs.columns
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    ranges = covered(hashed.select("doc_id", F.col("text").cast("string"), "text_hash"), length, seed, large)
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    ranges = covered(hashed.select("doc_id", F.col("text").cast("string"), F.col("__text_hash").alias("text_hash")), length, seed, large)
     per_doc = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "stop")).alias("__ranges"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -311,6 +318,6 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, lar
         return pa.RecordBatch.from_arrays([*own, long(size), long(removed), long(spans), pa.array(digests, pa.string())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__ranges")
-    joined = hashed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "text_hash")
+    joined = hashed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "__text_hash")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return arrow_map(joined, run, schema)
