@@ -15,7 +15,8 @@ many passes inside one stage as there are parts; documents are never shuffled.
 Defined results: null or empty texts and items match nothing, nor do items of
 fewer than four words; repeated items are found each, repeated rows marked
 each; ties of the best item go to the smallest item_id; null item_ids are
-ignored; extra columns are kept; with an empty benchmark nothing is marked.
+ignored; extra columns are kept, but for matches, which is
+replaced; with an empty benchmark nothing is marked.
 """
 
 from __future__ import annotations

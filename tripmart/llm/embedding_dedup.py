@@ -118,7 +118,7 @@ def forest(linked: np.ndarray, q: np.ndarray, d: np.ndarray) -> list[tuple[int,
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MARGIN, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding", "label")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     sizes = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, total = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
     usable = _usable(vectors, dim)

@@ -13,8 +13,8 @@ fingerprint turns their probes away.
 
 Defined results: null and empty text is one empty line; rows of one doc_id are
 one document for the counts, and lose the same lines; a null doc_id counts as
-no document and is never a keeper; extra columns are kept as they are; an empty
-table gives an empty result.
+no document and is never a keeper; extra columns are kept as they are, but for
+n_lines and n_dropped, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -207,6 +207,7 @@ def hits(keys: DataFrame, arrays: DataFrame, shards: int, min_docs: int = MIN_DO
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_lines and n_dropped."""
+    docs = docs.drop("n_lines", "n_dropped")
     keys = line_keys(docs, min_chars)
     arrays, shards = index(keys, SHARD_KEYS)
     per_doc = hits(keys, arrays, shards, min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("__drop"))

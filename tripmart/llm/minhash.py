@@ -173,6 +173,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: i
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = cut(sketches(docs, k), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys")), "set-classes")

@@ -14,8 +14,9 @@ does not meet in one task.
 
 Defined results: null text is empty and stays empty; texts with fewer than
 three sentences lose nothing; rows of one doc_id are one document, whose runs at
-the same place are the same run; null doc_id sorts first; extra columns are kept;
-an empty table gives an empty result.
+the same place are the same run; null doc_id sorts first; extra columns are kept,
+but for n_sentences and n_removed, which are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -85,6 +86,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_sentences and n_removed."""
+    docs = docs.drop("n_sentences", "n_removed")
     gone = repeated(spans(docs)).withColumnRenamed("doc_id", "__id")
     names = docs.columns
 

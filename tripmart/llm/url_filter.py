@@ -42,6 +42,7 @@ LABELLED = [
     ("openscience.net/paper/881", 0), ("recipes.home.net/soup/lentil", 0), ("travel.example.org/fr/paris", 0),
     ("school.edu/course/math/101", 0), ("weather.gov/forecast/today", 0), ("code.example.com/repo/readme", 0),
     ("forum.example.net/thread/7", 0), ("gardening.example.org/en/roses", 0), ("sports.example.com/en/results", 0),
+    ("example.com", 0), ("example.org/", 0), ("example.net/fr", 0), ("www.example.com", 0), ("site.net", 0), ("a.org/b", 0),
 ]
 
 
