@@ -1,8 +1,11 @@
 import collections
 import re
 
-from tripmart.llm import span_dedup
+import numpy as np
+
 from tests.llm.conftest import prose
+from tripmart.llm import span_dedup
+from tripmart.llm.text import word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -11,12 +14,22 @@ def sentences(text):
     """Lists of words, by plain Python."""
     out, now, last = [], [], None
     for m in re.finditer(r"[^\x20\x09-\x0d]+", text or ""):
-        if now and (now[-1][-1] in ".!?" or "\n" in text[last : m.start()] or len(now) == span_dedup.LONGEST):
+        if now and (now[-1][-1] in ".!?" or "\n" in text[last : m.start()]):
             out.append(now)
             now = []
         now.append(m[0])
         last = m.end()
-    return out + [now] if now else out
+    parts = []
+    for s in out + [now] if now else out:
+        parts.append([])
+        for w in s:
+            parts[-1].append(w)
+            buf = np.frombuffer(w.encode(), np.uint8)
+            if len(s) > span_dedup.LONGEST and int(word_hashes(buf, np.array([0]), np.array([len(buf)]))[0]) % span_dedup.EVERY == 0:
+                parts.append([])
+        if not parts[-1]:
+            parts.pop()
+    return parts
 
 
 def brute(rows):

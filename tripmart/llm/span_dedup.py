@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is taken as sentences: they end at a word with a closing ``.``, ``!`` or
-``?``, at a line end, and after 16 words at most, so that long sentences are
-several pieces. Every run of three consecutive sentences with ten words or more
-is hashed (words compared with A-Z lower-cased). Runs are grouped over all
+``?`` and at a line end. Those of more than 16 words are several pieces, which
+end behind every word whose hash is a multiple of eight, so that a word put in
+or left out moves no other border. Every run of three consecutive pieces with
+eight words or more is hashed (words compared with A-Z lower-cased). Runs are grouped over all
 documents; the first is the one with the smallest (doc_id, sentence), and the
 sentences of every other are removed.
 
@@ -29,25 +30,27 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .text import mix, powers, slices, word_hashes, words
 
-RUN, MIN_WORDS, LONGEST = 3, 10, 16
+RUN, MIN_WORDS, LONGEST, EVERY = 3, 8, 16, 8
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
 def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Word starts, ends and rows' first words; the first word of each sentence, and rows' first sentences."""
+    """Word starts and hashes; the first word of each sentence, and rows' first sentences."""
     starts, ends, first = words(buf, offsets)
     if not len(starts):
-        return starts, ends, first, np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+        return starts, np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+    hashes = word_hashes(buf, starts, ends)
     lines = np.concatenate([[0], np.cumsum(buf == 10)])
     opens = np.zeros(len(starts), bool)
     opens[0] = True
     opens[1:] = _END[buf[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
     opens[first[:-1][np.diff(first) > 0]] = True
+    size = np.diff(np.append(np.flatnonzero(opens), len(starts)))
+    long = np.repeat(size > LONGEST, size)
+    opens[1:] |= long[:-1] & (hashes[:-1] % np.uint64(EVERY) == 0)
     at = np.flatnonzero(opens)
-    place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
-    at = np.flatnonzero(place % LONGEST == 0)
-    return starts, ends, first, at, np.searchsorted(at, first)
+    return starts, hashes, at, np.searchsorted(at, first)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -56,10 +59,9 @@ def spans(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for lo, hi, buf, offsets in slices(batch.column("text")):
-            starts, ends, first, at, own = sentences(buf, offsets)
+            starts, h, at, own = sentences(buf, offsets)
             if len(at) < RUN:
                 continue
-            h = word_hashes(buf, starts, ends)
             up, down = powers(len(h) + 1)
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * up[: len(h)], out=sums[1:])
@@ -94,7 +96,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         kept, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         runs = batch.column("__runs").to_pylist()
         for lo, hi, buf, offsets in slices(batch.column("text")):
-            starts, _, _, at, own = sentences(buf, offsets)
+            starts, _, at, own = sentences(buf, offsets)
             total[lo:hi] = np.diff(own)
             for row in range(lo, hi):
                 a, b = offsets[row - lo], offsets[row - lo + 1]
