@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record
+from .common import arrow_map, record, small
 
 OPEN, SAYS, CLOSE, ESCAPE = "<turn>", "<says>", "</turn>", "\\"
 CONTROLS = (OPEN, SAYS, CLOSE)
@@ -144,7 +144,7 @@ def digest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
             cols = list(zip(*done, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], kinds), *map(pa.array, cols[1:])], names=list(FIELDS))
 
-        for batch in batches:
+        for batch in small(batches):
             kinds = batch.column("conv_id").type
             for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "mask")), strict=True):
                 if now is None or now.conv_id != conv:

@@ -4,7 +4,9 @@ Each round turns every node's neighbourhood into a star around its smallest
 member: first among larger neighbours, then among smaller ones. Minima are
 aggregates with partial results on the map side, so a node with very many links
 is no single task's work; after about log(n) rounds every component is a star
-around its smallest node. Each round is written to the shared folder.
+around its smallest node. Each round is written to the shared folder, and so are the
+minima: a join of two written tables is one that adaptive execution can split
+where a node has many links, or broadcast where the graph is small.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(cut(_star(both), "stars"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    near = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = cut(edges, "large-stars")
+    near = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
     return edges.join(near, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v")
 
 

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys")), "set-classes")
     tables = _tables(classes)
     buckets = tables.groupBy("key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
-    stars = tables.join(buckets, "key").where("cid != rep").select(F.col("cid").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = tables.join(buckets.hint("merge"), "key").where("cid != rep").select(F.col("cid").alias("u"), F.col("rep").alias("v")).distinct()
     groups = cut(components(stars), "candidate-groups")
     found = components(confirmed_links(docs, classes, groups, k, percent))
     placed = classes.select("digest", "cid").join(found, F.col("cid") == F.col("id"), "left").select("digest", F.coalesce("component", "cid").alias("component_id"))

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
-LENGTH, GROUP, CLOSING_ID, CACHE_WORDS = 2048, 4096, 1, 500_000
+LENGTH, GROUP, CLOSING_ID, CACHE_WORDS = 2048, 4096, 1, 250_000
 
 
 @functools.cache
@@ -104,7 +104,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = known_ids(tokenizer)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows, starts, sizes, crcs, totals, wholes = [], [], [], [], [], []
             for row, body in enumerate(map(ids.of, batch.column("text").to_pylist())):
                 body += closing
