@@ -264,7 +264,27 @@ _CHECK_RULES = {
 }
 _UNIQUE = {"dim_vendor": "vendor_id", "dim_rate_code": "ratecode_id", "dim_payment_type": "payment_type", "dim_store_and_fwd": "store_and_fwd_flag", "dim_ingestion": "ingestion_id", "dim_date": "full_date"}
 
+def _upserted(key: str, code: str, dim: str) -> str:
+    columns = f"(SELECT * EXCLUDE ({key}), {code} IN (SELECT {code} FROM staging WHERE ingestion_id = 1) OR ({code} IS NULL AND EXISTS (SELECT 1 FROM staging WHERE ingestion_id = 1 AND {code} IS NULL)) AS old FROM {dim})"
+    return f"SELECT CAST(row_number() OVER (ORDER BY coalesce(old, false) DESC, {code} NULLS LAST) AS SMALLINT) AS {key}, * EXCLUDE (old) FROM {columns}"
+
+
+def _prepared(c: str) -> str:
+    rule = {"passenger_count": 13, "trip_distance": 17}
+    return f"CASE WHEN (raw_trip_id - 1) % {rule[c]} = 0 THEN NULL ELSE {c} END AS {c}" if c in rule else c
+
+
+_STATISTICS = "SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM main WHERE fare_amount < 0 OR total_amount < 0"
+
 SELECTS = {
+    "prepare_raw": f"SELECT {', '.join(map(_prepared, RAW_COLUMNS))} FROM raw",
+    "dim_hour": _shown("dim_hour"),
+    "dim_vendor_upserted": _upserted("vendor_key", "vendor_id", "dim_vendor"),
+    "dim_rate_code_upserted": _upserted("rate_code_key", "ratecode_id", "dim_rate_code"),
+    "dim_payment_type_upserted": _upserted("payment_type_key", "payment_type", "dim_payment_type"),
+    "fact_trip_upserted": _shown("fact"),
+    "r15_duplicate_rows": "SELECT " + _QUALITY["complete_duplicates"] + " AS duplicate_rows",
+    "r16_amount_statistics": _union(_STATISTICS.format(c=c) for c in ("fare_amount", "tip_amount", "total_amount")),
     "staging_taxi_trips": _shown("staging"),
     "daily_trip_metrics": _shown("daily"),
     "hourly_trip_metrics": _shown("hourly"),

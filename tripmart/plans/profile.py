@@ -239,6 +239,12 @@ def _of(report, *args):
     return lambda m: report(of_ingestion(m.raw, MAIN), *args)
 
 
+def _statistics(m):
+    """Statistics of negative transactions, rounded to four places."""
+    out = describe(negative_transactions(of_ingestion(m.raw, MAIN)), ["fare_amount", "tip_amount", "total_amount"])
+    return out.select("column_name", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+
+
 def _shortest(m):
     rows = shortest_durations(of_ingestion(m.raw, MAIN))
     seconds = F.timestamp_diff("SECOND", F.col("pickup_datetime"), F.col("dropoff_datetime"))
@@ -271,7 +277,9 @@ REPORTS = {
     "r13_orphan_rows": lambda m: orphan_rows(m.raw, m.log),
     "r14_profile_summary": _of(profile_summary),
     "r15_quality_summary": _of(quality_summary),
+    "r15_duplicate_rows": _of(duplicate_rows),
     "r16_negative_transactions": _of(negative_transactions),
+    "r16_amount_statistics": _statistics,
     "r17_zero_distances": _of(zero_distances),
     "r17_speeding": _of(speeding),
     "r17_nonpositive_durations": _of(nonpositive_durations),
