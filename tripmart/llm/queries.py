@@ -88,6 +88,28 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+_COMPONENTS = """
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, b.v FROM reach r JOIN both_ways b ON b.u = r.other),
+component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+OP6_SQL = (
+    """
+WITH RECURSIVE nodes AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (
+  SELECT * FROM nodes WHERE label IS NOT NULL AND x IS NOT NULL AND list_sum(list_transform(x, lambda v: v * v)) > 0),
+links AS (
+  SELECT a.id AS u, b.id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+"""
+    + _COMPONENTS
+    + """
+SELECT n.id AS vec_id, (SELECT count(*) FROM both_ways b WHERE b.u = n.id) AS n_links, component_id, n.id = component_id AS kept
+FROM nodes n JOIN component c ON c.id = n.id
+"""
+)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -98,6 +120,27 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+OP8_SQL = (
+    r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM split),
+nodes AS (SELECT doc_id AS id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id AS id, unnest(s) AS g FROM sets),
+shared AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN nodes x ON x.id = u JOIN nodes y ON y.id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+"""
+    + _COMPONENTS
+    + """
+SELECT n.id AS doc_id, n.n AS n_shingles, component_id, n.id = component_id AS kept FROM nodes n JOIN component c ON c.id = n.id
+"""
+)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -121,4 +164,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL}
