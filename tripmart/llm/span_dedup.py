@@ -3,10 +3,12 @@
 A text is taken as sentences: they end at a word with a closing ``.``, ``!`` or
 ``?`` and at a line end. Those of more than 16 words are several pieces, which
 end behind every word whose hash is a multiple of eight, so that a word put in
-or left out moves no other border. Every run of three consecutive pieces with
-eight words or more is hashed (words compared with A-Z lower-cased). Runs are grouped over all
-documents; the first is the one with the smallest (doc_id, sentence), and the
-sentences of every other are removed.
+or left out moves no other border. From every piece a run goes over three
+consecutive ones and on until it has eight words, or 96 bytes of words for texts
+without spaces; it is hashed (words compared with A-Z lower-cased).
+
+Runs are grouped over all documents; the first is the one with the smallest
+(doc_id, place), and the words of every other are removed.
 
 The span hash has 64 bits. Counting and finding the first is an aggregate with
 partial sums on the map side, and the join back is an ordinary equi-join that
@@ -14,8 +16,9 @@ adaptive execution can split, so a passage found in a third of all documents
 does not meet in one task.
 
 Defined results: null text is empty and stays empty; texts with fewer than
-three sentences lose nothing; rows of one doc_id are one document, whose runs at
-the same place are the same run; null doc_id sorts first; extra columns are kept,
+three sentences lose nothing; n_removed counts the
+pieces that are removed whole; rows of one doc_id are one document, whose runs at the
+same place are the same run; null doc_id sorts first; extra columns are kept,
 but for n_sentences and n_removed, which are replaced; an empty table gives an
 empty result.
 """
@@ -31,93 +34,111 @@ from .common import arrow_map
 from .text import mix, powers, slices, word_hashes, words
 
 RUN, MIN_WORDS, LONGEST, EVERY = 3, 8, 16, 8
+MIN_BYTES, GRAM = 96, 26
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
-def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Word starts and hashes; the first word of each sentence, and rows' first sentences."""
-    starts, ends, first = words(buf, offsets)
-    if not len(starts):
-        return starts, np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    hashes = word_hashes(buf, starts, ends)
-    lines = np.concatenate([[0], np.cumsum(buf == 10)])
-    opens = np.zeros(len(starts), bool)
-    opens[0] = True
-    opens[1:] = _END[buf[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
-    opens[first[:-1][np.diff(first) > 0]] = True
-    size = np.diff(np.append(np.flatnonzero(opens), len(starts)))
-    long = np.repeat(size > LONGEST, size)
-    opens[1:] |= long[:-1] & (hashes[:-1] % np.uint64(EVERY) == 0)
-    at = np.flatnonzero(opens)
-    return starts, hashes, at, np.searchsorted(at, first)
+class Pieces:
+    """Words of a slice of rows and the pieces they make; indices of words and pieces run over all rows."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        self.starts, ends, self.first = words(buf, offsets)
+        n = len(self.starts)
+        if not n:
+            self.hashes, self.edges, self.real, self.own, self.stop = np.empty(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, bool), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
+            return
+        self.hashes = word_hashes(buf, self.starts, ends)
+        lines = np.concatenate([[0], np.cumsum(buf == 10)])
+        opens = np.zeros(n, bool)
+        opens[0] = True
+        opens[1:] = _END[buf[ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[ends[:-1]])
+        opens[self.first[:-1][np.diff(self.first) > 0]] = True
+        size = np.diff(np.append(np.flatnonzero(opens), n))
+        long = np.repeat(size > LONGEST, size)
+        real = np.append(opens, True)
+        opens[1:] |= long[:-1] & (self.hashes[:-1] % np.uint64(EVERY) == 0)
+        at = np.flatnonzero(opens)
+        #: First words of the pieces and the end of the last; which of them open sentences; rows' first pieces.
+        self.edges = np.append(at, n)
+        self.real = real[self.edges]
+        self.own = np.searchsorted(at, self.first)
+        #: The piece behind the run from each piece, or -1 where the row ends before.
+        size = np.concatenate([[0], np.cumsum(ends - self.starts)])[self.edges]
+        enough = np.minimum(np.searchsorted(self.edges, at + MIN_WORDS), np.searchsorted(size, size[:-1] + MIN_BYTES))
+        stop = np.maximum(np.arange(len(at)) + RUN, enough)
+        self.stop = np.where(stop <= np.repeat(self.own[1:], np.diff(self.own)), stop, -1)
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With ``__text``, a second part of a row's identity."""
+    return docs.withColumn("__text", F.lit(0).cast("long"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, the sentence a run starts with, and the run's hash."""
+    """doc_id, __text, the place a run starts at, and the run's hash; places are 64 times a piece's number, or a word's with its ties and a 1."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for lo, hi, buf, offsets in slices(batch.column("text")):
-            starts, h, at, own = sentences(buf, offsets)
-            if len(at) < RUN:
-                continue
+        rows, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, _, buf, offsets in slices(batch.column("text")):
+            p = Pieces(buf, offsets)
+            h = p.hashes
             up, down = powers(len(h) + 1)
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * up[: len(h)], out=sums[1:])
-            count = np.diff(own)
-            doc = np.repeat(np.arange(hi - lo), count)
-            begin = np.arange(len(at) - RUN + 1)
-            stop = np.append(at, len(starts))[begin + RUN]
-            begin = begin[(doc[begin] == doc[begin + RUN - 1]) & (stop - at[begin] >= MIN_WORDS)]
-            a, b = at[begin], np.append(at, len(starts))[begin + RUN]
-            rows.append(doc[begin] + lo)
-            places.append((begin - own[doc[begin]]).astype(np.int32))
-            found.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], names=["doc_id", "sentence", "span"])
+            begin = np.flatnonzero(p.stop >= 0)
+            gram = far = np.empty(0, np.int64)
+            doc = np.searchsorted(p.own, begin, "right") - 1
+            own = np.searchsorted(p.first, gram, "right") - 1
+            rows += [doc + lo, own + lo]
+            places += [begin - p.own[doc] << 6, (gram - p.first[own] << 6) + 2 * far + 1]
+            for kind, a, b in ((0, p.edges[begin], p.edges[p.stop[begin]]), (1 << 40, gram, gram + GRAM)):
+                found.append(mix((sums[b] - sums[a]) * down[a] + (b - a + kind).astype(np.uint64)).view(np.int64))
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__text").take(at), pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], names=["doc_id", "__text", "place", "span"])
 
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, sentence int, span long")
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "__text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, __text long, place long, span long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id and the first sentences of its non-first runs."""
-    heads = found.groupBy("span").agg(F.min(F.struct("doc_id", "sentence")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("span", "head")
-    again = found.join(heads, "span").where(~((F.col("doc_id").eqNullSafe(F.col("head.doc_id"))) & (F.col("sentence") == F.col("head.sentence"))))
-    return again.groupBy("doc_id").agg(F.collect_set("sentence").alias("__runs"))
+    """doc_id, __text, and the places of its non-first runs."""
+    heads = found.groupBy("span").agg(F.min(F.struct("doc_id", "__text", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("span", "head")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("__text") == F.col("head.__text")) & (F.col("place") == F.col("head.place"))
+    return found.join(heads, "span").where(~first).groupBy("doc_id", "__text").agg(F.collect_set("place").alias("__runs")).withColumnsRenamed({"doc_id": "__id", "__text": "__hash"})
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
-    gone = repeated(spans(docs)).withColumnRenamed("doc_id", "__id")
-    names = docs.columns
+    names, rows = docs.columns, keyed(docs)
+    gone = repeated(spans(rows))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         runs = batch.column("__runs").to_pylist()
         for lo, hi, buf, offsets in slices(batch.column("text")):
-            starts, _, at, own = sentences(buf, offsets)
-            total[lo:hi] = np.diff(own)
+            p = Pieces(buf, offsets)
+            total[lo:hi] = np.diff(p.own)
             for row in range(lo, hi):
                 a, b = offsets[row - lo], offsets[row - lo + 1]
                 if not runs[row]:
                     kept.append(buf[a:b].tobytes().decode())
                     continue
-                s0, s1 = own[row - lo], own[row - lo + 1]
-                cover = np.zeros(s1 - s0 + 1, np.int64)
-                for r in runs[row]:
-                    cover[r] += 1
-                    cover[min(r + RUN, s1 - s0)] -= 1
+                places = np.array(runs[row])
+                w0, w1, s0, s1 = *p.first[row - lo : row - lo + 2], *p.own[row - lo : row - lo + 2]
+                kind, places, far = places & 1, places >> 6, places % 64 >> 1
+                piece, gram, far = places[kind == 0] + s0, places[kind == 1], far[kind == 1]
+                cover = np.zeros(w1 - w0 + 1, np.int64)
+                np.add.at(cover, np.concatenate([p.edges[piece] - w0, gram]), 1)
+                np.add.at(cover, np.concatenate([p.edges[p.stop[piece]] - w0, gram + far + GRAM]), -1)
                 away = np.cumsum(cover)[:-1] > 0
-                removed[row] = away.sum()
-                edges = np.append(starts[at[s0:s1]], b)
+                removed[row] = np.logical_and.reduceat(away, p.edges[s0:s1] - w0).sum()
+                edges = np.append(p.starts[w0:w1], b)
                 flags = np.ones(b - a, bool)
-                for k in np.flatnonzero(away):
-                    flags[edges[k] - a : edges[k + 1] - a] = False
+                flags[edges[0] - a :] = ~np.repeat(away, np.diff(edges))
                 kept.append(buf[a:b][flags].tobytes().decode())
         own_cols = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*own_cols, pa.array(total), pa.array(removed)], names=[*names, "n_sentences", "n_removed"])
 
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left").drop("__id", "__hash", "__text")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_sentences long, n_removed long"
     return arrow_map(joined, run, schema)
