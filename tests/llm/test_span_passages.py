@@ -21,3 +21,18 @@ def test_lines_of_one_and_two_words(spark):
         for k in range(1, 4):
             assert not set(passage.split("\n")) & set(out[k].split("\n"))
             assert out[k] == rows[k][1].replace(passage + "\n", "")
+
+
+def test_passages_of_51_words_without_punctuation(spark):
+    rng = random.Random(6)
+    some = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passages = [some(51) for _ in range(300)]
+    rows = [(i * 1000 + k, " ".join([some(rng.randrange(40)), p, some(rng.randrange(40))])) for k, p in enumerate(passages) for i in range(3)]
+    out = kept(spark, rows)
+    texts = dict(rows)
+    for k, p in enumerate(passages):
+        assert out[k] == texts[k]
+        for i in (1, 2):
+            left = out[i * 1000 + k].split()
+            assert [w for w in left if w not in p.split()] == [w for w in texts[i * 1000 + k].split() if w not in p.split()]
+            assert sum(w in left for w in p.split()) <= 51 - span_dedup.MIN_WORDS

@@ -7,8 +7,14 @@ or left out moves no other border. From every piece a run goes over three
 consecutive ones and on until it has eight words, or 96 bytes of words for texts
 without spaces; it is hashed (words compared with A-Z lower-cased).
 
+Runs of whole pieces can miss a passage that stands inside long sentences. So
+the run of 26 words with the smallest hash among 26 neighbouring ones is hashed
+too, unless a run of whole sentences lies inside it: every passage of 51 words
+or more has a run of either kind, wherever it stands and however it is pointed.
+
 Runs are grouped over all documents; the first is the one with the smallest
-(doc_id, place), and the words of every other are removed.
+(doc_id, place), and the words of every other are removed. Equal runs
+of words that overlap in one text are one record, removed or kept together.
 
 The span hash has 64 bits. Counting and finding the first is an aggregate with
 partial sums on the map side, and the join back is an ordinary equi-join that
@@ -16,7 +22,7 @@ adaptive execution can split, so a passage found in a third of all documents
 does not meet in one task.
 
 Defined results: null text is empty and stays empty; texts with fewer than
-three sentences lose nothing; n_removed counts the
+three sentences and fewer than 51 words lose nothing; n_removed counts the
 pieces that are removed whole; rows of one doc_id are one document, whose runs at the
 same place are the same run; null doc_id sorts first; extra columns are kept,
 but for n_sentences and n_removed, which are replaced; an empty table gives an
@@ -69,6 +75,48 @@ class Pieces:
         stop = np.maximum(np.arange(len(at)) + RUN, enough)
         self.stop = np.where(stop <= np.repeat(self.own[1:], np.diff(self.own)), stop, -1)
 
+    def grams(self, sums: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the runs of GRAM words that are the smallest of GRAM neighbours and hold no run of whole sentences.
+
+        Of equal ones that overlap the first is given, with the distance to the last.
+        """
+        n = len(self.starts) - 2 * GRAM + 2
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        values = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM]) | np.uint64(1)
+        least = _sliding(np.minimum, values)
+        left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
+        least[left[:n] < 2 * GRAM - 1] = 0
+        pad = np.zeros(GRAM - 1, np.uint64)
+        at = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad])) == values)
+        sentence = np.flatnonzero(self.real)
+        piece = sentence[np.searchsorted(self.edges[sentence], at, "right")]
+        stop = np.append(self.stop, -1)[piece]
+        at = at[(stop < 0) | ~self.real[stop] | (self.edges[stop] >= at + GRAM)]
+        row = np.searchsorted(self.first, at, "right")
+        order = np.lexsort((at, values[at], row))
+        at, row, values = at[order], row[order], values[at[order]]
+        far, keep = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        base, last = 0, -1
+        for k in (np.flatnonzero((values[1:] == values[:-1]) & (row[1:] == row[:-1]) & (np.diff(at) < GRAM)) + 1).tolist():
+            base = base if last == k - 1 else k - 1
+            if at[k] - at[base] < GRAM:
+                keep[k], far[base] = False, at[k] - at[base]
+            else:
+                base = k
+            last = k
+        return at[keep], far[keep]
+
+
+def _sliding(best: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """The best of each GRAM neighbouring values."""
+    wide = 1
+    while 2 * wide <= GRAM:
+        values = best(values[:-wide], values[wide:])
+        wide *= 2
+    return best(values[: len(values) - (GRAM - wide)], values[GRAM - wide :])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """With ``__text``, a second part of a row's identity."""
     return docs.withColumn("__text", F.lit(0).cast("long"))
@@ -86,7 +134,7 @@ def spans(docs: DataFrame) -> DataFrame:
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * up[: len(h)], out=sums[1:])
             begin = np.flatnonzero(p.stop >= 0)
-            gram = far = np.empty(0, np.int64)
+            gram, far = p.grams(sums, down)
             doc = np.searchsorted(p.own, begin, "right") - 1
             own = np.searchsorted(p.first, gram, "right") - 1
             rows += [doc + lo, own + lo]
