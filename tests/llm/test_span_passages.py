@@ -36,3 +36,19 @@ def test_passages_of_51_words_without_punctuation(spark):
             left = out[i * 1000 + k].split()
             assert [w for w in left if w not in p.split()] == [w for w in texts[i * 1000 + k].split() if w not in p.split()]
             assert sum(w in left for w in p.split()) <= 51 - span_dedup.MIN_WORDS
+
+
+def test_null_and_repeated_doc_ids_with_different_texts(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, n)}.\n{passage}\n{prose(rng, 9)}") for i, n in ((None, 80), (None, 20), (7, 90), (7, 15), (8, 40))]
+    rows += [(i, f"{prose(rng, 12)}.") for i in (None, 7, 7)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    order = t.selectExpr("doc_id", "xxhash64(text) x", "text").sort("doc_id", "x").collect()
+    want = brute([(k, r.text) for k, r in enumerate(order)])
+    place = {r.text: k for k, r in enumerate(order)}
+    plain = {k: (n, m) for k, n, m in want}
+    got = span_dedup.drop_repeats(t).selectExpr("n_sentences", "n_removed", "doc_id", "text").collect()
+    assert sorted((r.n_sentences, r.n_removed) for r in got) == sorted(plain.values())
+    clean = {t for _, t in rows if plain[place[t]][1] == 0}
+    assert clean <= {r.text for r in got} and len(clean) == 4

@@ -13,7 +13,8 @@ too, unless a run of whole sentences lies inside it: every passage of 51 words
 or more has a run of either kind, wherever it stands and however it is pointed.
 
 Runs are grouped over all documents; the first is the one with the smallest
-(doc_id, place), and the words of every other are removed. Equal runs
+(doc_id, hash of the text, place), and the words of every other are removed. The
+hash is 0 where no other row has the doc_id, so that it takes no room. Equal runs
 of words that overlap in one text are one record, removed or kept together.
 
 The span hash has 64 bits. Counting and finding the first is an aggregate with
@@ -23,8 +24,9 @@ does not meet in one task.
 
 Defined results: null text is empty and stays empty; texts with fewer than
 three sentences and fewer than 51 words lose nothing; n_removed counts the
-pieces that are removed whole; rows of one doc_id are one document, whose runs at the
-same place are the same run; null doc_id sorts first; extra columns are kept,
+pieces that are removed whole; rows of one doc_id and text are one document, whose runs at the
+same place are the same run, rows of one doc_id (or none) and different texts
+are different documents; null doc_id sorts first; extra columns are kept,
 but for n_sentences and n_removed, which are replaced; an empty table gives an
 empty result.
 """
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, cut
 from .text import mix, powers, slices, word_hashes, words
 
 RUN, MIN_WORDS, LONGEST, EVERY = 3, 8, 16, 8
@@ -118,8 +120,11 @@ def _sliding(best: np.ufunc, values: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """With ``__text``, a second part of a row's identity."""
-    return docs.withColumn("__text", F.lit(0).cast("long"))
+    """With ``__text``, which tells rows of one doc_id, or of none, apart: the hash of their texts, else 0."""
+    often = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__often")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__often"), "shared-ids")
+    apart = F.col("doc_id").isNull() | F.col("__often").isNotNull()
+    text = F.when(apart, F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))
+    return docs.join(often, F.col("doc_id") == F.col("__often"), "left").withColumn("__text", text).drop("__often")
 
 
 def spans(docs: DataFrame) -> DataFrame:
