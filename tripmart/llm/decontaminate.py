@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared in lower case and without punctuation. Runs of four words of
-each test item are seeds where they are rare: where the
-product of their words' shares of the whole corpus is at most ``RARE``; the
-eight rarest of an item always are. Words are counted over all documents, and
+each test item, and any three words within five, in order, are seeds where they
+are rare: where the product of their words' shares of the whole corpus is at
+most ``RARE``; the eight rarest of each shape always are. The gaps let a copy be
+found whose edits leave no longer run; an item of fewer than four words has
+itself as its seed, if rare. Words are counted over all documents, and
 the product tells common phrases from a leak that itself is frequent. A seed
 found in a document places a test item there; the words around it are aligned
 with the item (match 2, mismatch and gap -1), and the best score, as a share of
@@ -13,7 +15,7 @@ Test items go to the tasks in parts of at most ``PART_WORDS`` words, with as
 many passes inside one stage as there are parts; documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing, nor do items of
-fewer than four words; repeated items are found each, repeated rows marked
+fewer than four words that are not rare; repeated items are found each, repeated rows marked
 each; ties of the best item go to the smallest item_id; null item_ids are
 ignored; extra columns are kept, but for matches, which is
 replaced; with an empty benchmark nothing is marked.
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, record
-from .text import IS_SPACE, ngrams, slices, word_hashes
+from .text import IS_SPACE, mix, slices, word_hashes
 from .text import words as split_words
 
 N, RARE, AT_LEAST, THRESHOLD, MARGIN, PART_WORDS = 4, 1e-8, 8, 0.5, 8, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BITS = 20
+#: Shapes of seeds, as places of their words; the last two are for items of one and two words.
+SHAPES = [(0, 1, 2, 3), (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (0, 1), (0,)]
 #: White space and ASCII punctuation part words.
 _GAPS = IS_SPACE.copy()
 _GAPS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -50,24 +54,46 @@ def lowered(column: pa.Array):
     return slices(pc.utf8_lower(column))
 
 
+def shaped(hashes: np.ndarray, first: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words at all places of one shape within rows, and their first words."""
+    places = SHAPES[shape]
+    n = len(hashes) - places[-1]
+    if n < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    values = np.full(n, shape + 1, np.uint64)
+    for t in places:
+        values = (values + hashes[t : t + n]) * np.uint64(0xD1342543DE82EF95)
+        values ^= values >> np.uint64(29)
+    left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
+    at = np.flatnonzero(left > places[-1])
+    return mix(values[at]), at
+
+
 class Items:
     """Test items as word hashes, and their seeds in hash order."""
 
     def __init__(self, ids: list[int], texts: list[str], share: dict[int, float]):
-        self.ids, self.words = [], []
+        self.ids, self.words, self.shapes = [], [], set()
         seeds, places = [], []
         for item, text in zip(ids, texts, strict=True):
             for _, _, buf, offsets in lowered(pa.array([text])):
                 starts, ends, first = words(buf, offsets)
                 h = word_hashes(buf, starts, ends)
-                if len(h) < N:
+                if not len(h):
                     continue
-                values, at, _ = ngrams(h, first, N)
                 p = np.array([share.get(int(x), 0.0) for x in h])
-                chance = np.prod([p[t : len(p) - N + 1 + t] for t in range(N)], axis=0)
-                rare = (chance <= RARE) | (np.argsort(np.argsort(chance, kind="stable"), kind="stable") < AT_LEAST)
-                seeds.append(values[rare])
-                places.append(np.column_stack([np.full(rare.sum(), len(self.ids)), at[rare]]))
+                for k, shape in enumerate(SHAPES):
+                    if len(h) < N and shape != tuple(range(len(h))) or len(h) >= N and len(shape) < 3:
+                        continue
+                    values, at = shaped(h, first, k)
+                    chance = np.prod([p[at + t] for t in shape], axis=0)
+                    rare = chance <= RARE
+                    if len(h) >= N:
+                        rare |= np.argsort(np.argsort(chance, kind="stable"), kind="stable") < AT_LEAST
+                    if rare.any():
+                        self.shapes.add(k)
+                        seeds.append(values[rare])
+                        places.append(np.column_stack([np.full(rare.sum(), len(self.ids)), at[rare]]))
                 self.ids.append(item)
                 self.words.append(h)
         seeds_ = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
@@ -127,14 +153,17 @@ def matches(column: pa.Array, items: Items) -> list[dict[int, float]]:
     out: list[dict[int, float]] = [{} for _ in range(len(column))]
     for lo, _, buf, offsets in lowered(column):
         starts, ends, first = words(buf, offsets)
-        if len(starts) < N:
+        if not len(starts):
             continue
         h = word_hashes(buf, starts, ends)
-        values, at, _ = ngrams(h, first, N, short=False)
-        where, item, place = items.hits(values)
-        if not len(where):
+        found = []
+        for shape in items.shapes:
+            values, at = shaped(h, first, shape)
+            where, item, place = items.hits(values)
+            found.append((at[where], item, place))
+        if not any(len(f[0]) for f in found):
             continue
-        word = at[where]
+        word, item, place = (np.concatenate(c) for c in zip(*found, strict=True))
         doc = np.searchsorted(first, word, "right") - 1
         order = np.lexsort((word, item, doc))
         doc, item, place, word = doc[order], item[order], place[order], word[order]
