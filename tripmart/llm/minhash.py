@@ -1,9 +1,9 @@
 """MinHash near-dedup with tensored banding, every link confirmed on full sets.
 
-Two collections of eight sub-keys are drawn, each of three minhashes. A table
-key is a pair of sub-keys, one of each collection: 48 minhashes give 64 tables
-of six rows, where plain banding would need 384. A pair at a similarity of 0.8
-shares a key with a probability of 0.993, at 0.85 of 0.9993.
+Two collections of twelve sub-keys are drawn, each of three minhashes. A table
+key is a pair of sub-keys, one of each collection: 72 minhashes give 144 tables
+of six rows, where plain banding would need 864. A pair at a similarity of 0.8
+shares a key with a probability of 0.9996, at 0.85 of 0.99998.
 
 Documents with equal sets form a class and are searched once. Classes that
 share a table key with a bucket's smallest member form a candidate group; links
@@ -31,7 +31,7 @@ from .common import arrow_map, cut, grouped, record
 from .components import components
 from .text import mix, ngrams, slices, word_hashes, words
 
-COLLECTION, ROWS, BLOCK = 8, 3, 256
+COLLECTION, ROWS, BLOCK = 12, 3, 256
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**63, 2 * COLLECTION * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, 2 * COLLECTION * ROWS, dtype=np.uint64)
