@@ -54,8 +54,8 @@ def test_large_group_in_small_blocks(spark, monkeypatch):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         rows.append((1000 - k, " ".join(words)))
     t = spark.createDataFrame(rows, "doc_id int, text string")
-    for block in (256, 12):
-        monkeypatch.setattr(minhash.confirmed_links, "__defaults__", (block,))
+    for block, wide in ((256, 64), (12, 64), (12, 2)):
+        monkeypatch.setattr(minhash.confirmed_links, "__defaults__", (block, wide))
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(t, 4).collect()}
         want = {i: c for i, (_, c) in brute(rows, 4).items()}
         assert got == want
@@ -63,6 +63,15 @@ def test_large_group_in_small_blocks(spark, monkeypatch):
 
 def test_empty(none):
     assert minhash.near_duplicates(none).count() == 0
+    assert minhash.keep_one(none).count() == 0
+
+
+def test_rows_of_one_id_are_kept_by_their_texts(spark):
+    a, b = ("one two three four five six seven", "nine ten eleven twelve thirteen fourteen")
+    rows = [(1, a, 0), (1, a, 0), (5, a, 0), (5, b, 0), (None, a, 0), (None, None, 0), (7, None, 0), (8, "", 0)]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string, gone_id int"))
+    assert out.columns == ["doc_id", "text", "gone_id"]
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(r[:2] for r in rows if r[:2] != (5, a))
 
 
 def test_components(spark):

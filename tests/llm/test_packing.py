@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
 from tripmart.llm import packing
@@ -10,9 +12,10 @@ from tripmart.llm import packing
 
 def test_ids_are_those_of_the_whole_text(rows):
     ids = packing.Ids()
-    odd = ["don't I'm WE'LL x--y 3,5% a1b2", "<|endoftext|> é\u0301 İ ΑΣ \u1e9e \x1c\x85\xa0 b", "ÿŸ œ Straße!'s 'tis", "".join(chr(c) for c in range(32, 700))]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a <|startoftext|> <|endoftext|> b", "x<|endoftext|>\ny <|ENDOFTEXT|> <|endoftext |>", "don't I'm WE'LL x--y 3,5% a1b2", "<|endoftext|> é\u0301 İ ΑΣ \u1e9e \x1c\x85\xa0 b", "ÿŸ œ Straße!'s 'tis", "".join(chr(c) for c in range(32, 700))]
     for text in [t or "" for _, t in rows] + odd:
-        whole = ids.tok.encode(text, add_special_tokens=False).ids
+        whole = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids.of(text), "<u4").tolist() == whole
 
 
@@ -59,3 +62,10 @@ def test_little_padding(spark):
     t = spark.createDataFrame([(k, prose(rng, rng.randint(5, 900))) for k in range(400)], "doc_id long, text string")
     rows = packing.pack(t).collect()
     assert sum(r.length for r in rows) / (len({r.sequence_id for r in rows}) * packing.LENGTH) > 0.97
+
+
+def test_copies_of_one_row_and_pieces_of_one_text_are_spread(spark):
+    rows = [(1, "one two three")] * 400 + [(2, " ".join(f"w{k}" for k in range(4000)))]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=64, group=50).collect()
+    most = collections.Counter(r.sequence_id >> 32 for r in out).most_common(1)[0][1]
+    assert most < 150 and sum(r.doc_id == 1 for r in out) == 400

@@ -6,7 +6,9 @@ aggregates with partial results on the map side, so a node with very many links
 is no single task's work; after about log(n) rounds every component is a star
 around its smallest node. Each round is written to the shared folder, and so are the
 minima: a join of two written tables is one that adaptive execution can split
-where a node has many links, or broadcast where the graph is small.
+where a node has many links, or broadcast where the graph is small. Adaptive
+execution sizes the partitions by the rows that are left. What a round has
+read is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -14,34 +16,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    """Links take an eighth of the partitions that the session's tables take."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.coalesce(max(1, partitions // 8)), name)
+from .common import cut, forget
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every edge once, its larger end now linked to the smallest node around the smaller end."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-    return both.join(_keep(least, "stars"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "stars")
+    out = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-stars")
+    forget(least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of a node, and the node, linked to the smallest of them."""
-    near = _keep(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
-    return edges.join(near, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v")
+    near = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
+    moved = edges.join(near, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    out = cut(moved.where("u != v").distinct(), "links")
+    forget(near)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, of every node of links (``u``, ``v``)."""
     high, low = F.greatest("u", "v"), F.least("u", "v")
-    edges = _keep(links.where("u != v").select(high.alias("u"), low.alias("v")).distinct(), "links")
+    edges = cut(links.where("u != v").select(high.alias("u"), low.alias("v")).distinct(), "links")
     for _ in range(rounds):
-        edges = _keep(_small(_keep(_large(edges), "large-stars")).distinct(), "links")
+        large = _large(edges)
+        after = _small(large)
+        forget(edges, large)
+        edges = after
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("lower"), F.lit(0).alias("upper")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("lower"), F.lit(1).alias("upper")))
         odd = ends.groupBy("id").agg(F.sum("lower").alias("a"), F.max("upper").alias("b")).where("a > 1 OR (a = 1 AND b = 1)")
         if odd.isEmpty():

@@ -13,10 +13,16 @@ blocks, the members outside its largest component against all its blocks.
 Members that are connected already need no further comparison, so copies are
 never expanded into all pairs, and components are those of the whole graph.
 
+Groups are transitive, so chance candidates could chain many of them. In a group
+of more than ``WIDE`` blocks only members that share a table key are compared:
+the second step then goes over its buckets, those that hold several components,
+instead of over the group.
+
 Defined results: a text with fewer words than a shingle is one shingle; without
 words, or null, the set is empty and linked with nothing; a null doc_id has no
-component and is kept; rows of one doc_id are one document; extra columns are
-ignored; an empty table gives an empty result.
+component and is kept; rows of one doc_id are one document, but each row is
+placed, and kept or not, by its own text; extra columns are ignored by
+``near_duplicates`` and kept by ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, grouped, record
+from .common import arrow_map, cut, fresh, grouped, record
 from .components import components
 from .text import mix, ngrams, slices, word_hashes, words
 
-COLLECTION, ROWS, BLOCK = 12, 3, 256
+COLLECTION, ROWS, BLOCK, WIDE = 12, 3, 256, 64
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**63, 2 * COLLECTION * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, 2 * COLLECTION * ROWS, dtype=np.uint64)
@@ -63,7 +69,7 @@ def sub_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its sub-keys (null for an empty set)."""
+    """doc_id, text_hash, n_shingles, digest of the set, and its sub-keys (null for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, keys = np.zeros(batch.num_rows, np.int64), [], []
@@ -89,15 +95,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         flat = np.concatenate(keys).view(np.int64).ravel() if keys else np.empty(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(some * 2 * COLLECTION)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return record(doc_id=batch.column("doc_id"), n_shingles=sizes, digest=pa.array(digests, pa.binary()), keys=lists)
+        return record(doc_id=batch.column("doc_id"), text_hash=batch.column("text_hash"), n_shingles=sizes, digest=pa.array(digests, pa.binary()), keys=lists)
 
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, keys array<long>")
+    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return arrow_map(hashed, run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
-def _tables(classes: DataFrame) -> DataFrame:
-    """cid and its table keys: every pair of a sub-key of either collection."""
+def _tables(classes: DataFrame, *more: str) -> DataFrame:
+    """cid, further columns, and the table keys: every pair of a sub-key of either collection."""
     left, right = F.slice("keys", 1, COLLECTION), F.slice("keys", COLLECTION + 1, COLLECTION)
-    return classes.select("cid", F.explode(left).alias("a"), right.alias("bs")).select("cid", F.explode("bs").alias("b"), "a").select("cid", F.xxhash64("a", "b").alias("key"))
+    return classes.select("cid", *more, F.explode(left).alias("a"), right.alias("bs")).select("cid", *more, F.explode("bs").alias("b"), "a").select("cid", *more, F.xxhash64("a", "b").alias("key"))
 
 
 def link_sets(sets: list[np.ndarray], labels: np.ndarray, query: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -129,7 +136,18 @@ def link_sets(sets: list[np.ndarray], labels: np.ndarray, query: np.ndarray, per
     return found
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+def _rest(members: DataFrame, block: int) -> DataFrame:
+    """Members (grp, blocks, block, cid, label, shingles) of groups with several labels, laid out so that everything outside a group's most frequent label meets all of the group, in parts of bounded size."""
+    per_label = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = per_label.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / block).cast("int")).where("chunks > 0").select("grp", "main", "chunks")
+    named = members.join(main, "grp")
+    data = named.select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "cid", "label", F.lit(False).alias("query"), "shingles")
+    asked = named.where("label != main").select("grp", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "label", F.lit(True).alias("query"), "shingles")
+    return data.unionByName(asked)
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Links (u, v) between classes of one candidate group that connect all that is linked on full sets."""
     sized = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = groups.join(sized, "component").join(classes.select(F.col("cid").alias("id"), "digest"), "id")
@@ -162,17 +180,21 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: i
     if large.isEmpty():
         return out
     named = cut(large.join(components(out), F.col("cid") == F.col("id"), "left").select("grp", "blocks", "block", "cid", F.coalesce("component", "cid").alias("label"), "shingles"), "labelled-sets")
-    per_label = named.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = per_label.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / block).cast("int")).where("chunks > 0").select("grp", "main", "chunks")
-    named = named.join(main, "grp")
-    data = named.select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "cid", "label", F.lit(False).alias("query"), "shingles")
-    asked = named.where("label != main").select("grp", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "label", F.lit(True).alias("query"), "shingles")
-    return out.unionByName(grouped(data.unionByName(asked), ["grp", "chunk", "block"], ["cid", "query"], links, "u long, v long"))
+    keys = ["grp", "chunk", "block"]
+    out = out.unionByName(grouped(_rest(named.where(F.col("blocks") <= wide), block), keys, ["cid", "query"], links, "u long, v long"))
+    huge = named.where(F.col("blocks") > wide)
+    if huge.isEmpty():
+        return out
+    # their buckets take the place of the groups
+    placed = cut(_tables(classes.join(huge.select("cid", "label"), "cid"), "label"), "bucket-members")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    within = placed.join(mixed, "key").select(F.col("key").alias("grp"), "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid")
+    within = cut(within.join(huge.select("cid", "label", "shingles"), "cid").select("grp", "blocks", "block", "cid", "label", "shingles"), "bucket-sets")
+    return out.unionByName(grouped(_rest(within, block), keys, ["cid", "query"], links, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = cut(sketches(docs, k), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -183,7 +205,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = cut(components(stars), "candidate-groups")
     found = components(confirmed_links(docs, classes, groups, k, percent))
     placed = classes.select("digest", "cid").join(found, F.col("cid") == F.col("id"), "left").select("digest", F.coalesce("component", "cid").alias("component_id"))
-    out = own.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
+    out = own.select("doc_id", "text_hash", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return _placed(docs, k, percent).drop("text_hash")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, one document of each group; all columns stay."""
+    gone_id, gone_hash = fresh(docs, "gone_id", "gone_hash")
+    gone = _placed(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(gone_hash))
+    return docs.join(gone, same, "left_anti")

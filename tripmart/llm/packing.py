@@ -1,8 +1,9 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt by a hash into randomised groups of a few thousand; each
-group is packed on its own, so the work is linear in the number of documents
-and no group grows with the input.
+Pieces of documents are dealt by a hash of their row's number into randomised
+groups of a few thousand; each group is packed on its own, so the work is linear
+in the number of pieces and no group grows with the input, with the copies of a
+row, or with the length of a document.
 
 A document longer than a sequence is cut into full sequences and a rest. Full
 pieces fill sequences of their own; rests are placed longest first, each into
@@ -10,7 +11,8 @@ the first open sequence with room, which a tree over capacities finds in
 log(n) steps.
 
 Defined results: null or empty text is the closing id alone; repeated rows are
-packed each for itself; ties are ordered by doc_id and then by content; extra
+packed each for itself; ties are ordered by doc_id and then by content; which
+sequence a piece goes to follows from how the rows are partitioned; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -38,9 +40,7 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True  # their strings in a text are then ordinary text
-    return tok
+    return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _byte_letters() -> list[str]:
@@ -60,13 +60,15 @@ class Ids(dict):
     The vocabulary's pre-tokenizer drops white space and never joins across it,
     so a text's ids are the ids of its words in turn. Words of Latin letters
     with punctuation behind them are two pieces for the merges; all others go
-    through the whole tokenizer.
+    through the whole tokenizer, and so do texts that hold the string of one of
+    its added tokens, which may reach over white space.
     """
 
     def __init__(self, path: str | None = None):
         super().__init__()
         self.tok, self.pieces = _tokenizer(path), {}
         self.merge = self.tok.model.tokenize
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def piece(self, text: str) -> bytes:
         if (found := self.pieces.get(text)) is None:
@@ -81,12 +83,17 @@ class Ids(dict):
         if parts := _WORD.fullmatch(text):
             ids = self.piece(parts[1].lower()) + (self.piece(parts[2]) if parts[2] else b"")
         else:
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(text)
         if len(self) < CACHE_WORDS:  # the frequent words come first
             self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: str | None) -> bytes:
+        if text and any(a in text for a in self.added):
+            return self.whole(text)
         return b"".join(map(self.__getitem__, (text or "").encode().split()))  # bytes: splits at ASCII white space only
 
 
@@ -151,12 +158,12 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, group: int = GROUP, seed: int = 11) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = cut(tokenize(docs, tokenizer, length), "pieces")
-    groups = max(1, math.ceil(pieces.where("start = 0").count() / group))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_crc32", F.lit(seed)), F.lit(groups)))
+    pieces = cut(tokenize(docs, tokenizer, length).withColumn("dealt", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))), "pieces")
+    groups = max(1, math.ceil(pieces.count() / group))
+    dealt = pieces.withColumn("pack_group", F.pmod("dealt", F.lit(groups)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "doc_crc32"], ascending=[False, True, True, True], kind="stable")
+        part = part.sort_values(["length", "doc_id", "start", "doc_crc32", "dealt"], ascending=[False, True, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(part["length"].to_numpy(), length)
         part["sequence_id"] = (part["pack_group"].to_numpy(np.int64) << 32) + bins
         part["offset"] = offsets
