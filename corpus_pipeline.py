@@ -22,9 +22,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, k=5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+
+    Each row goes by its own text; null, empty and wordless texts and rows
+    without a doc_id stay, and so do repeated rows of the one that is kept.
+    """
+    return minhash.keep_one(docs, k=5)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
