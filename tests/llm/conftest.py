@@ -47,8 +47,8 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """The messy rows with columns whose names operators use for their own."""
-    extra = "lang string, source string, n_chars long, n_lines int, matches string, digest string, component_id int, key string, text_hash int"
-    data = [(i, t, "en", None, None if t is None else len(t), 1, "m", "d", 3, None, 5) for i, t in rows]
+    extra = "lang string, source string, n_chars long, n_lines int, matches string, digest string, component_id int, key string, text_hash int, own_id long, OWN_HASH string, `drop` int, own_ranges int, gone_id int, matches_ int"
+    data = [(i, t, "en", None, None if t is None else len(t), 1, "m", "d", 3, None, 5, 6, "h", 7, 8, 9, 10) for i, t in rows]
     return spark.createDataFrame(data, "doc_id long, text string, " + extra)
 
 

@@ -38,8 +38,11 @@ def test_hot_line_and_keeper(spark):
     line = "  THE same line that every document carries in it\t"
     rows = [(k, f"{line}\nown {k}\n{line.lower()}") for k in range(400)]
     t = spark.createDataFrame(rows, "doc_id int, text string").repartition(6)
-    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_lines(t).collect()}
-    assert got[399] == (0, rows[399][1]) and all(got[k] == (2, f"own {k}") for k in range(399))
+    for shard_keys, task_probes in ((line_dedup.SHARD_KEYS, line_dedup.TASK_PROBES), (1, 30)):
+        got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_lines(t, shard_keys=shard_keys, task_probes=task_probes).collect()}
+        assert got[399] == (0, rows[399][1]) and all(got[k] == (2, f"own {k}") for k in range(399))
+    _, loads, _ = line_dedup.index(line_dedup.line_keys(t), task_probes=30)
+    assert [r.salts for r in loads.collect()] == [14]  # 400 probes of one line
 
 
 def test_empty(spark, none):

@@ -25,10 +25,9 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("large", [4096, 1])
-@pytest.mark.parametrize("length", [400, 60])
-def test_against_brute_force(docs, rows, length, large):
-    out = suffix_dedup.drop_substrings(docs, length=length, large=large)
+@pytest.mark.parametrize("length,large,seeds", [(400, 4096, suffix_dedup.SEEDS), (60, 4096, (20, 40, 60)), (60, 1, (20, 40, 60)), (400, 1, (32, 390, 400))])
+def test_against_brute_force(docs, rows, length, large, seeds):
+    out = suffix_dedup.drop_substrings(docs, length=length, seeds=seeds, large=large)
     assert out.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
     want = brute([(t or "").encode() for _, t in rows], length)

@@ -3,9 +3,10 @@
 The distinct keys of long lines are dealt by hash into shards of about 65,536
 keys. Each shard gets a minimal perfect hash, and behind it arrays of
 fingerprints, document counts and keepers (the largest doc_id). Documents do
-not join lines: their key hashes stream past the arrays of their shard, in
-several salted partitions a shard, so that a line found in a third of all
-documents does not meet in one task. Only hits go back to the documents.
+not join lines: their key hashes stream past the arrays of their shard. A shard
+has as many salted partitions as its measured number of probes asks for, about
+a million each, so that a line found in a third of all documents does not meet
+in one task. Only hits go back to the documents.
 
 A key is known by 128 bits of hash: the lower half drives the perfect hash, the
 upper half is the fingerprint. Keys of one document alone are not indexed; the
@@ -13,7 +14,7 @@ fingerprint turns their probes away.
 
 Defined results: null and empty text is one empty line; rows of one doc_id are
 one document for the counts, and lose the same lines; a null doc_id counts as
-no document and is never a keeper; extra columns are kept as they are, but for
+no document and is never a keeper, and such rows are told apart by their texts; extra columns are kept as they are, but for
 n_lines and n_dropped, which are replaced; an empty table gives an empty result.
 """
 
@@ -26,13 +27,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, fresh
 from .text import SPACES, mix
 
-MIN_CHARS, MIN_DOCS, SHARD_KEYS, SALTS = 40, 5, 1 << 16, 8
+MIN_CHARS, MIN_DOCS, SHARD_KEYS, TASK_PROBES = 40, 5, 1 << 16, 1 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -142,8 +143,12 @@ class Shard:
         return count, keeper
 
 
+def _row_hash() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))
+
+
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and the two hash halves of each distinct long line of each row."""
+    """doc_id, text_hash (of rows without a doc_id, else 0) and the two hash halves of each distinct long line of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lo, hi = [], [], []
@@ -154,15 +159,20 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     lo.append(h & _MASK)
                     hi.append(h >> 64)
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), signed(lo), signed(hi)], names=["doc_id", "lo", "hi"])
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), signed(lo), signed(hi)], names=["doc_id", "text_hash", "lo", "hi"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, lo long, hi long")
+    return arrow_map(docs.select("doc_id", _row_hash().alias("text_hash"), F.col("text").cast("string")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, lo long, hi long")
 
 
-def index(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """A row of arrays per shard over the keys of two documents or more, and the number of shards."""
-    distinct = cut(keys.groupBy("lo", "hi").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where("n > 1"), "line-keys")
-    shards = max(1, math.ceil(distinct.count() / shard_keys))
+def index(keys: DataFrame, shard_keys: int = SHARD_KEYS, task_probes: int = TASK_PROBES) -> tuple[DataFrame, DataFrame, int]:
+    """A row of arrays per shard over the keys of two documents or more; the number of partitions (salts) of each shard; the number of shards."""
+    seen = Observation()
+    counted = keys.observe(seen, F.count(F.lit(1)).alias("probes")).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("probes"), F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    distinct = cut(counted.where("n > 1"), "line-keys")
+    size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("probes"), F.lit(0))).first()
+    shards = max(1, math.ceil(size[0] / shard_keys))
+    others = max(0, seen.get["probes"] - size[1]) / shards if size[0] else 0  # spread evenly by their hashes
     names = ("levels", "sizes", "fingerprints", "counts", "keepers", "apart")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -171,16 +181,21 @@ def index(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int
         return pd.DataFrame({"shard": [part["shard"].iloc[0]], **{k: [packed[k]] for k in names}})
 
     dealt = distinct.withColumn("shard", F.pmod(F.col("hi"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(build, "shard long, " + ", ".join(f"{k} binary" for k in names)), shards
+    loads = dealt.groupBy("shard").agg(F.ceil((F.sum("probes") + F.lit(others)) / task_probes).cast("int").alias("salts"))
+    arrays = dealt.drop("probes").groupBy("shard").applyInPandas(build, "shard long, " + ", ".join(f"{k} binary" for k in names))
+    return arrays, cut(loads, "shard-loads"), shards
 
 
-def hits(keys: DataFrame, arrays: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, lo and hi of the lines to drop: keys stream past the arrays of their shard."""
+def hits(keys: DataFrame, arrays: DataFrame, loads: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, text_hash, lo and hi of the lines to drop: keys stream past the arrays of their shard."""
     names = [c for c in arrays.columns if c != "shard"]
     kind = dict(keys.dtypes)["doc_id"]
     none = F.lit(None)
-    tables = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), none.cast(kind).alias("doc_id"), none.cast("long").alias("lo"), none.cast("long").alias("hi"), *names)
-    probes = keys.select(F.pmod("hi", F.lit(shards)).alias("shard"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0)).alias("salt"), F.lit(1).alias("kind"), "doc_id", "lo", "hi", *[none.cast("binary").alias(c) for c in names])
+    fields = ("doc_id", "text_hash", "lo", "hi")
+    empty = [none.cast(kind).alias("doc_id"), *(none.cast("long").alias(c) for c in fields[1:])]
+    tables = arrays.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *empty, *names)
+    probes = keys.withColumn("shard", F.pmod("hi", F.lit(shards))).join(loads, "shard")
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), *fields, *[none.cast("binary").alias(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, loaded = None, None
@@ -199,23 +214,23 @@ def hits(keys: DataFrame, arrays: DataFrame, shards: int, min_docs: int = MIN_DO
                     same = np.asarray(own.fill_null(0)) == keeper
                     drop[a:b] = (count >= min_docs) & ~(same & np.asarray(own.is_valid()))
             at = pa.array(np.flatnonzero(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc_id", "lo", "hi")], names=["doc_id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in fields], names=list(fields))
 
     both = tables.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return both.mapInArrow(run, f"doc_id {kind}, lo long, hi long")
+    return both.mapInArrow(run, f"doc_id {kind}, text_hash long, lo long, hi long")
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, task_probes: int = TASK_PROBES) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     keys = line_keys(docs, min_chars)
-    arrays, shards = index(keys, SHARD_KEYS)
-    per_doc = hits(keys, arrays, shards, min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("__drop"))
+    own_id, own_hash, drop = fresh(docs, "own_id", "own_hash", "drop")
+    per_doc = hits(keys, *index(keys, shard_keys, task_probes), min_docs).groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.collect_set(F.struct("lo", "hi")).alias(drop))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, lines, dropped = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column(drop).to_pylist(), strict=True):
             parts = (text or "").encode().split(b"\n")
             lines.append(len(parts))
             if gone:
@@ -226,6 +241,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         own = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (_row_hash() == F.col(own_hash))
+    joined = docs.join(per_doc, same, "left").drop(own_id, own_hash)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
     return arrow_map(joined, run, schema)

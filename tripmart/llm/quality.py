@@ -2,8 +2,8 @@
 
 Statistics of the whole text are transformed to be roughly normal. For each
 class a mean and a covariance, shrunk towards the pooled one and towards its
-diagonal, are estimated from sums that Spark adds up over all labelled rows; a
-row's score is the logistic function of the difference of the two log
+diagonal, are estimated from sums that Spark adds up over the labelled rows, or
+over about ``SAMPLE`` of them picked by a hash where there are more; a row's score is the logistic function of the difference of the two log
 densities (Mahalanobis terms through cached inverse Cholesky factors) and the
 log prior ratio.
 
@@ -11,8 +11,9 @@ Defined results: null and empty texts have the statistics of an empty text and
 a score; a null doc_id is not held out and never labelled; repeated rows are
 scored each; a doc_id labelled more than once counts with its lowest quality;
 labels other than 0 and 1 are ignored; where a class has no labelled row, every
-score is the share of label 1 with one row added to either class; extra
-columns are ignored.
+score is the share of label 1 with one row added to either class, and
+``keep_good`` keeps all, since nothing was learnt; extra columns are ignored by
+``classify`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, record
+from .common import arrow_map, record
 from .text import slices, word_hashes, words
 
-THRESHOLD, SHRINK_POOLED, SHRINK_DIAGONAL = 0.7, 0.1, 0.05
+THRESHOLD, SHRINK_POOLED, SHRINK_DIAGONAL, SAMPLE = 0.7, 0.1, 0.05, 1 << 16
 
 #: Counts of bytes and words that every text has besides its own, at usual rates, so that a short text is not judged by a few words.
 PRIOR_BYTES, PRIOR_WORDS = 100, 20
@@ -133,9 +134,17 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on all labelled rows that are not held out; Spark adds up the moments."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def learning_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id and quality of the labelled rows to learn from: none held out, and about ``sample`` at most."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = min(1.0, sample / max(known.count(), 1))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminant:
+    """Fit on the labelled rows that are not held out; Spark adds up the moments."""
+    known = F.broadcast(learning_labels(labels, sample))  # about SAMPLE rows of two numbers
+    stats = with_statistics(docs.select("doc_id", "text").join(known.select("doc_id"), "doc_id", "left_semi"))
     k = len(STATISTICS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     rows = stats.join(known, "doc_id").groupBy("quality").agg(
@@ -154,20 +163,21 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    stats = cut(with_statistics(docs), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.column_stack([batch.column(c).to_numpy() for c in STATISTICS])
-        return record(doc_id=batch.column("doc_id"), score=model.value.score(x))
+        return record(doc_id=batch.column("doc_id"), score=model.value.score(statistics(batch.column("text"))))
 
-    scored = arrow_map(stats, run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = arrow_map(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of ``threshold`` or more; scored in the same pass that filters them."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(with_statistics(docs), labels))
+    learnt = fit(docs, labels)
+    if not learnt.ready:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = model.value.score(statistics(batch.column("text"))) >= threshold

@@ -149,7 +149,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when all 400-byte strings that occur twice are gone."""
     out = suffix_dedup.drop_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 A suffix array over all bytes of a corpus costs some tens of bytes of shuffle a
 byte, so the text is sieved first, without loss. The 400 bytes at a position
-have an anchor: the 32-byte substring among them with the smallest hash, the
+have an anchor: the 128-byte substring among them with the smallest hash, the
 leftmost if several. Equal strings have equal anchors at the same place.
 Neighbouring positions mostly share theirs; such a run of
 positions with the bytes they look at is a context. A context whose anchor
@@ -16,7 +16,9 @@ are compared.
 
 Groups of contexts go through the suffix sort in blocks of about a megabyte. An
 anchor with more than ``LARGE`` different contexts is not brought to one task:
-its strings are named by 128 bits of hash each and counted by Spark.
+its contexts are sieved again by themselves with the next longer anchor of
+``SEEDS``, which parts them into smaller groups that go the same way. The
+longest anchor is the whole string, whose contexts are all equal.
 
 Defined results: null text is empty; matches never cross documents; texts of
 fewer than 400 bytes lose nothing and match nothing; repeated rows are copies
@@ -36,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, fresh
 from .text import _CODES, mix, powers, slices
 
-LENGTH, SEED, LARGE, BLOCK_BYTES = 400, 32, 4096, 1 << 20
+LENGTH, SEEDS, LARGE, BLOCK_BYTES = 400, (128, 320, 400), 4096, 1 << 20
+#: What tells pieces of texts apart.
+PIECE = ("doc_id", "text_hash", "offset")
 _MOST, _UPPER = np.iinfo(np.uint64).max, np.uint64(0xFFFFFFFF00000000)
 
 
@@ -65,8 +69,8 @@ _OTHER_CODES = mix(_CODES + np.uint64(5)) | np.uint64(1)
 
 
 def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """A row per context: doc_id, text_hash, start, run (its number of positions), anchor, and two hashes of its bytes."""
-    names = ("doc_id", "text_hash", "start", "run", "anchor", "x1", "x2")
+    """A row per context: doc_id, text_hash, offset, start, run (its number of positions), anchor, and two hashes of its bytes."""
+    names = (*PIECE, "start", "run", "anchor", "x1", "x2")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, parts = [], []
@@ -94,10 +98,10 @@ def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
             parts.append((begin - offsets[doc[begin]], stop - begin, h[(least[begin] & ~_UPPER).astype(np.int64)].view(np.int64), *(x.view(np.int64) for x in hashes)))
         at = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c.astype(np.int64)) for c in cols)], names=list(names))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PIECE), *(pa.array(c.astype(np.int64)) for c in cols)], names=list(names))
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_map(docs, run, f"doc_id {kind}, text_hash long, start long, run long, anchor long, x1 long, x2 long")
+    return arrow_map(docs, run, f"doc_id {kind}, text_hash long, offset long, start long, run long, anchor long, x1 long, x2 long")
 
 
 def suffix_order(s: np.ndarray, top: int, depth: int) -> np.ndarray:
@@ -226,73 +230,63 @@ def sorted_twins(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"doc_id {kind}, text_hash long, begin long, stop long")
 
 
-def counted_twins(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of contexts: each string is named and counted."""
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, place, one, two = [], [], [], []
-        for row, text in enumerate(batch.column("bytes").to_pylist()):
-            buf = np.frombuffer(text, np.uint8)
-            one.append(_window_hashes(buf, length))
-            two.append(_window_hashes(buf, length, _OTHER_CODES))
-            at.append(np.full(len(one[-1]), row))
-            place.append(np.arange(len(one[-1])))
-        rows_ = pa.array(np.concatenate(at))
-        start = batch.column("start").to_numpy()[np.concatenate(at)] + np.concatenate(place)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows_), batch.column("text_hash").take(rows_), pa.array(start), *(pa.array(np.concatenate(h).view(np.int64)) for h in (one, two))], names=["doc_id", "text_hash", "start", "h1", "h2"])
-
-    named = arrow_map(rows.select("doc_id", "text_hash", "start", "bytes"), name, f"doc_id {kind}, text_hash long, start long, h1 long, h2 long")
-    often = named.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return named.join(often, ["h1", "h2"]).select("doc_id", "text_hash", F.col("start").alias("begin"), (F.col("start") + length).alias("stop"))
-
-
-def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE) -> DataFrame:
-    """doc_id, text_hash, begin and stop of byte ranges that together cover what is to go; ``docs`` has doc_id, text and text_hash."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = cut(contexts(docs, length, seed), "contexts")
-    place = F.struct("doc_id", "text_hash", "start", "run")
-    same = cut(rows.groupBy("anchor", "x1", "x2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")), "distinct-contexts")
-    equal = rows.join(same.where("n > 1").select("anchor", "x1", "x2"), ["anchor", "x1", "x2"])
-    settled = equal.select("doc_id", "text_hash", F.col("start").alias("begin"), (F.col("start") + F.col("run") + (length - 1)).alias("stop"))
-    groups = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("x")).where("x > 1")
-    asked = same.join(groups, "anchor").select("head.*", "anchor", "x")
-    per_doc = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "run", "anchor", "x")).alias("asked"))
+def fetched(pieces: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """Contexts (doc_id, text_hash, offset, start, run, anchor, x) with their bytes; ``start`` now counts from the text's begin."""
+    kind = dict(pieces.dtypes)["doc_id"]
+    own = [f"own_{c}" for c in PIECE]
+    per_piece = asked.groupBy(*(F.col(c).alias(o) for c, o in zip(PIECE, own, strict=True))).agg(F.collect_list(F.struct("start", "run", "anchor", "x")).alias("asked"))
+    same = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col("text_hash") == F.col(own[1])) & (F.col("offset") == F.col(own[2]))
 
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, start, run, anchor, x, parts = [], [], [], [], [], []
-        for row, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-            body = (text or "").encode()
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, fields, parts = [], [], []
+        for row, (body, base, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "offset", "asked")), strict=True)):
             for w in wanted:
                 at.append(row)
-                start.append(w["start"])
-                run.append(w["run"])
-                anchor.append(w["anchor"])
-                x.append(w["x"])
+                fields.append((base + w["start"], w["run"], w["anchor"], w["x"]))
                 parts.append(body[w["start"] : w["start"] + w["run"] + length - 1])
-        rows_ = pa.array(at, pa.int64())
-        long = lambda v: pa.array(v, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows_), batch.column("text_hash").take(rows_), long(start), long(run), long(anchor), long(x), pa.array(parts, pa.binary())], names=["doc_id", "text_hash", "start", "run", "anchor", "x", "bytes"])
+        rows = pa.array(at, pa.int64())
+        numbers = [pa.array(c, pa.int64()) for c in (zip(*fields, strict=True) if fields else ([],) * 4)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), *numbers, pa.array(parts, pa.binary())], names=["doc_id", "text_hash", "start", "run", "anchor", "x", "bytes"])
+
+    joined = pieces.join(per_piece, same).select(*PIECE, "text", "asked")
+    return cut(arrow_map(joined, run, f"doc_id {kind}, text_hash long, start long, run long, anchor long, x long, bytes binary"), "context-bytes")
+
+
+def covered(pieces: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] = SEEDS, large: int = LARGE) -> DataFrame:
+    """doc_id, text_hash, begin and stop of byte ranges that together cover what is to go.
 
-    joined = docs.join(per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "asked"), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "asked")
-    fetched = cut(arrow_map(joined, fetch, f"doc_id {kind}, text_hash long, start long, run long, anchor long, x long, bytes binary"), "context-bytes")
-    own = ("doc_id", "text_hash", "start", "run", "anchor", "x", "bytes")
-    out = settled.unionByName(sorted_twins(fetched.where(F.col("x") <= large).select(*own), length))
-    huge = fetched.where(F.col("x") > large).select(*own)
-    return out if huge.isEmpty() else out.unionByName(counted_twins(huge, length))
+    ``pieces`` has doc_id, text_hash, the bytes ``text`` of a part of the text,
+    and the ``offset`` where that part begins in it.
+    """
+    seed, *longer = seeds
+    rows = cut(contexts(pieces, length, seed), "contexts")
+    place = F.struct(*PIECE, "start", "run")
+    same = cut(rows.groupBy("anchor", "x1", "x2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")), "distinct-contexts")
+    equal = rows.join(same.where("n > 1").select("anchor", "x1", "x2"), ["anchor", "x1", "x2"])
+    begin = F.col("offset") + F.col("start")
+    out = equal.select("doc_id", "text_hash", begin.alias("begin"), (begin + F.col("run") + (length - 1)).alias("stop"))
+    groups = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("x")).where("x > 1")
+    left = fetched(pieces, same.join(groups, "anchor").select("head.*", "anchor", "x"), length)
+    out = out.unionByName(sorted_twins(left.where(F.col("x") <= large), length))
+    huge = left.where(F.col("x") > large)
+    if huge.isEmpty():
+        return out
+    return out.unionByName(covered(huge.select("doc_id", "text_hash", F.col("start").alias("offset"), F.col("bytes").alias("text")), length, tuple(longer), large))
 
 
-def drop_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE) -> DataFrame:
+def drop_substrings(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] = SEEDS, large: int = LARGE) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_bytes, n_removed, n_spans and kept_sha256."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
     columns = docs.columns
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    ranges = covered(hashed.select("doc_id", F.col("text").cast("string"), F.col("__text_hash").alias("text_hash")), length, seed, large)
-    per_doc = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "stop")).alias("__ranges"))
+    own_id, own_hash, own_ranges = fresh(docs, "own_id", "own_hash", "own_ranges")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    pieces = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), text_hash.alias("text_hash"), F.lit(0).cast("long").alias("offset"))
+    ranges = covered(pieces, length, tuple(min(s, length) for s in seeds), large)
+    found = ranges.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.collect_list(F.struct("begin", "stop")).alias(own_ranges))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, size, removed, spans, digests = [], [], [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges"), strict=True):
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column(own_ranges), strict=True):
             body = (text or "").encode()
             size.append(len(body))
             n = gone = at = 0
@@ -317,7 +311,6 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, lar
         long = lambda v: pa.array(v, pa.int64())
         return pa.RecordBatch.from_arrays([*own, long(size), long(removed), long(spans), pa.array(digests, pa.string())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__ranges")
-    joined = hashed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "__text_hash")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left").drop(own_id, own_hash)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return arrow_map(joined, run, schema)

@@ -51,8 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) for runs of rows of about ``limit`` bytes; null is empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = pc.fill_null(column, "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
