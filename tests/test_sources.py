@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -62,6 +64,41 @@ def test_failure_cleans_up_and_is_raised(spark, month, tmp_path, monkeypatch):
         verify_ingestion(None, None, None, "month.parquet", 1, None)
 
 
+def test_ids_are_claimed_once(spark, month, tmp_path):
+    root = str(tmp_path / "lake")
+    first = ingest.ingest(spark, month, root=root, **RUN)
+    run = dict(source_file_name="x", file_size_bytes=1, **RUN)
+    fs, where = parquet._path(spark, f"{root}/audit-ids/{first.ingestion_id + 1}")  # another run, between its claim and its first event
+    stream = fs.create(where, False)
+    stream.write(bytearray(b"3 13\n"))
+    stream.close()
+    mine = audit.start_ingestion(spark, f"{root}/audit", rows=5, **run)
+    assert mine == first.ingestion_id + 2 and audit.trip_ids(spark, f"{root}/audit", mine) == (13, 18)
+    fs.create(parquet._path(spark, f"{root}/audit-ids/{mine + 1}")[1], False).close()
+    with pytest.raises(RuntimeError, match="never got"):
+        audit.trip_ids(spark, f"{root}/audit", mine + 1, patience=0.2)
+
+
+def test_failed_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "table")
+    parquet.save_table(spark.range(3), place)
+    real, calls = parquet._rename, []
+
+    def second_fails(fs, old, new):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("no")
+        real(fs, old, new)
+
+    monkeypatch.setattr(parquet, "_rename", second_fails)
+    with pytest.raises(OSError):
+        parquet.save_table(spark.range(9), place)
+    assert spark.read.parquet(place).count() == 3
+    monkeypatch.undo()
+    with pytest.raises(OSError, match="could not rename"):
+        parquet._rename(SimpleNamespace(rename=lambda old, new: False), "a", "b")
+
+
 def test_sample_save_and_ids(spark, tmp_path):
     t = spark.range(100).withColumn("v", F.col("id") * 2)
     once, twice = (sorted(r.id for r in parquet.sample_trips(t, 10).collect()) for _ in range(2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .plans import analytics, validation
 from .queries import RUNS, TRIPS_SQL
-from .schema import FLAGS, MISSING, MONEY_COLUMNS, PAYMENTS, RATECODES, RAW_COLUMNS, STORE_AND_FWD, UNRECOGNIZED, VENDORS
+from .schema import DOUBLE_COLUMNS, FLAGS, MISSING, MONEY_COLUMNS, PAYMENTS, RATECODES, RAW_COLUMNS, STORE_AND_FWD, TIMESTAMP_COLUMNS, UNRECOGNIZED, VENDORS
 
 COUNTS = {"operational_issue_trip_count": "has_operational_issue", "suspicious_condition_trip_count": "has_suspicious_condition", "any_quality_flag_trip_count": "has_any_quality_flag", "negative_transaction_trip_count": "is_negative_transaction", "valid_speed_trip_count": "is_valid_for_speed_analysis"}
 KEYS = "ingestion_id, source_file_name, taxi_type, period_year, period_month"
@@ -371,4 +371,29 @@ SELECTS = {
     "v41_monetary_differences": "SELECT s.ingestion_id, " + ", ".join(f"CAST(f.{c} - s.{c} AS DECIMAL(18,2)) AS {c}_difference" for c in MONEY_COLUMNS) + " FROM " + " JOIN ".join(f"(SELECT ingestion_id, {', '.join(f'sum({c}) AS {c}' for c in MONEY_COLUMNS)} FROM {t} GROUP BY 1) {a}" for t, a in (("staging", "s"), ("fact", "f"))) + " ON s.ingestion_id = f.ingestion_id",
     "v43_constraints": _union([*(f"SELECT '{k}' AS check_name, count(*) FILTER (NOT ({c})) AS violations FROM {t}" for t, rules in _CHECK_RULES.items() for k, c in rules.items()), *(f"SELECT '{d}_unique' AS check_name, count(*) AS violations FROM (SELECT 1 FROM {d} GROUP BY {k} HAVING count(*) > 1)" for d, k in _UNIQUE.items())]),
 }
+_RAW_TYPES = {"raw_trip_id": "n", "ingestion_id": "n", **{c: "t" if c in TIMESTAMP_COLUMNS else "f" if c in DOUBLE_COLUMNS else "n" for c in RAW_COLUMNS}, "loaded_at": "t"}
+_PLAIN = {"n": "{c}::VARCHAR", "t": "epoch_us({c})::VARCHAR", "f": "CAST(round({c} * 10000) AS BIGINT)::VARCHAR"}
+_DIGEST = "md5('42' || " + " || ".join("'|' || coalesce(" + _PLAIN[kind].format(c=c) + ", '')" for c, kind in _RAW_TYPES.items()) + ")"
+_PERIOD = "'yellow' AS taxi_type, 2024 AS period_year, 1 AS period_month"
+_COUNT = "(SELECT count(*) FROM raw WHERE ingestion_id = {})".format
+_MONTH_ROWS, _SAMPLE_ROWS = _COUNT(7), _COUNT(1)
+_CHECKED = ["ingestion status is completed", "source file name matches", "source file size matches", "Parquet rows match rows_read", "rows_read match rows_loaded", "rows_loaded match stored count", "rows_rejected is zero"]
+SELECTS |= {
+    "s08_sample_trips": f"SELECT * FROM raw ORDER BY {_DIGEST}, raw_trip_id LIMIT 5000",
+    "s03_manifest_rows": "SELECT (SELECT count(*) FROM events) AS footer_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events)) AS columns, (SELECT count(*) FROM events) AS scanned_rows",
+    "d11_audit_states": f"""
+SELECT CAST(i AS BIGINT) AS ingestion_id, f AS source_file_name, {_PERIOD}, s AS status, CAST(n AS BIGINT) AS rows_read, CAST(n AS BIGINT) AS rows_loaded, CAST(0 AS BIGINT) AS rows_rejected, TRUE AS has_ended, s = 'failed' AS has_error
+FROM (SELECT 1 AS i, 'month.parquet' AS f, 'completed' AS s, {_MONTH_ROWS} AS n UNION ALL SELECT 2, 'month.parquet', 'skipped', 0
+  UNION ALL SELECT 3, 'sample.parquet', 'completed', {_SAMPLE_ROWS} UNION ALL SELECT 4, 'broken.parquet', 'failed', 0)""",
+    "s06_raw_by_ingestion": f"""
+SELECT CAST(CASE ingestion_id WHEN 7 THEN 1 ELSE 3 END AS BIGINT) AS ingestion_id, count(*) AS row_count, CASE ingestion_id WHEN 7 THEN 1 ELSE {_MONTH_ROWS} + 1 END AS first_trip_id,
+  CASE ingestion_id WHEN 7 THEN {_MONTH_ROWS} ELSE {_MONTH_ROWS} + {_SAMPLE_ROWS} END AS last_trip_id, count(*) AS distinct_trip_ids, CAST(sum(CAST(total_amount AS DECIMAL(20,8))) AS DECIMAL(28,8)) AS total_amount, count(*) AS rows_loaded_now
+FROM raw WHERE ingestion_id IN (1, 7) GROUP BY raw.ingestion_id""",
+    "d06_deleted_rows": f"SELECT 'deleted' AS step, {_MONTH_ROWS} AS row_count UNION ALL SELECT 'deleted again', 0 UNION ALL SELECT 'left', {_SAMPLE_ROWS}",
+    "v42_ingestion_checks": f"SELECT unnest([{', '.join(map(repr, _CHECKED))}]) AS check_name, {_MONTH_ROWS} = (SELECT count(*) FROM raw WHERE ingestion_id = 7) AS passed",
+    "s02_pruned_scan": "SELECT vendor_id, count(*) AS row_count, CAST(sum(CAST(fare_amount AS DECIMAL(20,8))) AS DECIMAL(28,8)) AS fare_amount FROM raw WHERE ingestion_id = 7 GROUP BY vendor_id",
+    "s09_saved_fact": "SELECT count(*) AS trip_count, count(DISTINCT raw_trip_id) AS distinct_trip_ids, sum(total_amount) AS total_amount FROM fact WHERE ingestion_id = 7",
+    "o01_null_order": "SELECT passenger_count, row_count, CAST(row_number() OVER (ORDER BY passenger_count ASC NULLS LAST) AS INT) AS rising, CAST(row_number() OVER (ORDER BY passenger_count DESC NULLS FIRST) AS INT) AS falling FROM (SELECT passenger_count, count(*) AS row_count FROM raw GROUP BY 1)",
+    "dim_hour": "SELECT h.*, (SELECT count(*) FROM staging WHERE hour(pickup_datetime) = h.hour_key) AS pickup_count, (SELECT count(*) FROM staging WHERE hour(dropoff_datetime) = h.hour_key) AS dropoff_count FROM dim_hour h",
+}
 ORACLES = {name: PRELUDE + select for name, select in SELECTS.items()}

@@ -68,6 +68,41 @@ def dim_store_and_fwd(staging: DataFrame, existing: DataFrame | None = None) ->
     return upsert(existing, rows, ["store_and_fwd_flag"], "store_and_fwd_key")
 
 
+CODES = [
+    "vendor_id", "vendor_name", "is_unrecognized_vendor", "ratecode_id", "ratecode_name", "is_unrecognized_ratecode", "is_documented_unknown_ratecode", "payment_type",
+    "payment_type_name", "is_unrecognized_payment_type", "is_documented_unknown_payment_type", "store_and_fwd_flag", "store_and_fwd_description", "is_unrecognized_store_and_fwd",
+]
+
+
+def codes(staging: DataFrame) -> DataFrame:
+    """All that dimensions take from staging, in one pass: combinations of codes by ingestion, each with its first and its last times."""
+    times = ("pickup_datetime", "dropoff_datetime")
+    rows = staging.groupBy("ingestion_id", *CODES).agg(*[F.array(F.min(c), F.max(c)).alias(c) for c in times])
+    return rows.select("ingestion_id", *CODES, F.explode(F.arrays_zip(*times)).alias("t")).select("ingestion_id", *CODES, *[F.col(f"t.{c}") for c in times])
+
+
+#: Dimensions of at most so many rows are sent to the trips whatever Spark estimates.
+SMALL = 100_000
+
+
+def sent_if_small(dims: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]:
+    """Code dimensions marked for broadcast where the written ``codes``, of which each has no more rows, are few.
+
+    A sort-merge join would hash all trips on a handful of codes.
+    """
+    if codes.count() > SMALL:
+        return dims
+    named = ("dim_vendor", "dim_rate_code", "dim_payment_type", "dim_store_and_fwd", "dim_hour")
+    return {k: F.broadcast(d) if k in named else d for k, d in dims.items()}
+
+
+def hours_of_trips(hours: DataFrame, staging: DataFrame) -> DataFrame:
+    """The hours with how many trips began and ended in them."""
+    count = lambda c, name: staging.groupBy(F.hour(c).alias("hour_key")).agg(F.count(F.lit(1)).alias(name))
+    out = hours.join(count("pickup_datetime", "pickup_count"), "hour_key", "left").join(count("dropoff_datetime", "dropoff_count"), "hour_key", "left")
+    return out.select(*hours.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pickup_count", "dropoff_count")])
+
+
 def dimensions(staging: DataFrame, log: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """All seven dimensions, merged into the existing ones."""
     old = existing or {}
@@ -85,8 +120,8 @@ def dimensions(staging: DataFrame, log: DataFrame, existing: dict[str, DataFrame
 def fact_trip(staging: DataFrame, dims: dict[str, DataFrame], existing: DataFrame | None = None) -> DataFrame:
     """Trips with the keys of their dimensions; rows without a match in one of them are left out.
 
-    Dimensions hold a row per code, hour or day, so Spark broadcasts them by
-    their size; the trips are not shuffled.
+    Dimensions hold a row per code, hour or day. Where they are written tables, or
+    come from ``sent_if_small``, Spark knows that and does not shuffle the trips.
     """
     t = staging.withColumns({"__pickup": F.to_date("pickup_datetime"), "__dropoff": F.to_date("dropoff_datetime"), "__pickup_hour": F.hour("pickup_datetime").cast("short"), "__dropoff_hour": F.hour("dropoff_datetime").cast("short")})
     t = t.join(dims["dim_ingestion"].select("ingestion_id"), "ingestion_id")

@@ -6,13 +6,15 @@ flag and period its cases; everything else is the library's own layers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.prepare import prepare_raw
 from .plans import analytics, marts, profile, star, staging, validation
 from .schema import LOG, RAW_COLUMNS, SOURCE_COLUMNS
-from .sources import parquet
+from .sources import audit, ingest, parquet, raw
 
 TRIPS_SQL = """
 SELECT
@@ -79,17 +81,31 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Model:
-    """The whole model over one data folder, built lazily."""
+    """The whole model over one data folder, built lazily.
+
+    The audit log, and the codes that dimensions are made of, are written once;
+    staging, fact and marts stay plans over the trips.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.log = ingestion_log(spark, sf_dir)
+        self.log = parquet.stored(ingestion_log(spark, sf_dir), "audit-log")
         self.raw = raw_trips(spark, sf_dir)
         self.staging = staging.staging_trips(self.raw, self.log)
-        self.dims = star.dimensions(self.staging, self.log)
-        self.fact = star.fact_trip(self.staging, self.dims)
         self.daily = analytics.daily_metrics(self.staging)
         self.hourly = analytics.hourly_metrics(self.staging)
 
+    @cached_property
+    def codes(self) -> DataFrame:
+        return parquet.stored(star.codes(self.staging), "codes")
+
+    @cached_property
+    def dims(self) -> dict[str, DataFrame]:
+        return star.sent_if_small(star.dimensions(self.codes, self.log), self.codes)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return star.fact_trip(self.staging, self.dims)
+
     def fact_daily(self) -> DataFrame:
         return marts.daily_from_fact(self.fact, self.dims["dim_ingestion"], self.dims["dim_date"])
 
@@ -109,7 +125,7 @@ def source_strings(raw: DataFrame) -> DataFrame:
 
 def _upserted(m: Model, build) -> DataFrame:
     """A dimension of the first ingestion's trips, then of all trips: keys that were given stay."""
-    return build(m.staging, build(m.staging.where("ingestion_id = 1")))
+    return build(m.codes, build(m.codes.where("ingestion_id = 1")))
 
 
 def _refreshed(m: Model) -> DataFrame:
@@ -119,7 +135,7 @@ def _refreshed(m: Model) -> DataFrame:
 
 MODELS = {
     "prepare_raw": lambda m: prepare_raw(source_strings(m.raw)),
-    "dim_hour": lambda m: m.dims["dim_hour"],
+    "dim_hour": lambda m: star.hours_of_trips(m.dims["dim_hour"], m.staging),
     "dim_vendor_upserted": lambda m: _upserted(m, star.dim_vendor),
     "dim_rate_code_upserted": lambda m: _upserted(m, star.dim_rate_code),
     "dim_payment_type_upserted": lambda m: _upserted(m, star.dim_payment_type),
@@ -146,11 +162,106 @@ def parquet_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.parquet_manifest(spark, f"{sf_dir}/events.parquet")
 
 
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of the source by its footers, and rows by a scan."""
+    scanned = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count(F.lit(1)).alias("scanned_rows"))
+    return parquet_manifest(spark, sf_dir).agg(F.sum("rows").alias("footer_rows"), F.max("columns").alias("columns")).crossJoin(scanned)
+
+
+class Lake:
+    """Trip files in a temporary lake, ingested: a month, the same file again, a sample, and a file that fails."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.root = spark, parquet.scratch(spark, "lake")
+        trips = raw_trips(spark, sf_dir).select("ingestion_id", *[F.col(c).alias(source) for source, c in SOURCE_COLUMNS.items()])
+        self.month = self._file(trips.where("ingestion_id = 7").drop("ingestion_id"), "month")
+        sample = self._file(trips.where("ingestion_id = 1").drop("ingestion_id"), "sample")
+        broken = self._file(trips.where("ingestion_id = 3").drop("ingestion_id", "VendorID"), "broken")
+        for path in (self.month, self.month, sample):
+            ingest.ingest(spark, path, "yellow", 2024, 1, self.root)
+        try:
+            ingest.ingest(spark, broken, "yellow", 2024, 1, self.root)
+        except ValueError:  # its run is in the audit log
+            pass
+        self.log = audit.audit_log(spark, f"{self.root}/audit")
+        self.raw = raw.raw_trips(spark, f"{self.root}/raw")
+
+    def _file(self, t: DataFrame, name: str) -> str:
+        """One file, as publishers of trips give them."""
+        t.coalesce(1).write.parquet(f"{self.root}/{name}")
+        (part,) = t.sparkSession.read.parquet(f"{self.root}/{name}").inputFiles()
+        path = f"{self.root}/{name}.parquet"
+        fs, old = parquet._path(self.spark, part)
+        parquet._rename(fs, old, parquet._path(self.spark, path)[1])
+        return path
+
+
+def audit_states(lake: Lake) -> DataFrame:
+    """Every run's latest state."""
+    return lake.log.select("ingestion_id", "source_file_name", "taxi_type", "period_year", "period_month", "status", "rows_read", "rows_loaded", "rows_rejected", F.col("completed_at").isNotNull().alias("has_ended"), F.col("error_message").isNotNull().alias("has_error"))
+
+
+def raw_by_ingestion(lake: Lake) -> DataFrame:
+    """Raw rows of each ingestion and the trip ids they got."""
+    fresh = F.col("loaded_at") >= F.date_sub(F.current_date(), 1).cast("timestamp_ntz")
+    return lake.raw.groupBy("ingestion_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("raw_trip_id").alias("first_trip_id"), F.max("raw_trip_id").alias("last_trip_id"), F.count_distinct("raw_trip_id").alias("distinct_trip_ids"),
+        F.sum(F.col("total_amount").cast("decimal(20,8)")).cast("decimal(28,8)").alias("total_amount"), F.count_if(fresh).alias("rows_loaded_now"),
+    )
+
+
+def deleted_rows(lake: Lake) -> DataFrame:
+    """What deleting the month's rows tells, twice, beside what stays."""
+    path = f"{lake.root}/raw"
+    gone = [("deleted", raw.delete_ingestion(lake.spark, path, 1)), ("deleted again", raw.delete_ingestion(lake.spark, path, 1))]
+    left = raw.raw_trips(lake.spark, path).agg(F.lit("left").alias("step"), F.count(F.lit(1)).alias("row_count"))
+    return lake.spark.createDataFrame(gone, "step string, row_count long").unionByName(left)
+
+
+def ingestion_checks(lake: Lake) -> DataFrame:
+    """The seven checks of the month's completed ingestion."""
+    manifest = parquet.stored(parquet.parquet_manifest(lake.spark, lake.month), "manifest")
+    size = manifest.first()["file_size_bytes"]
+    run = audit.find_completed(lake.log, "month.parquet", "yellow", 2024, 1, size)
+    return validation.verify_ingestion(manifest, lake.log, lake.raw, "month.parquet", size, run)
+
+
+def pruned_scan(lake: Lake) -> DataFrame:
+    """Two columns of a trip file."""
+    return parquet.read_trips(lake.spark, lake.month, ["VendorID", "fare_amount"]).groupBy(F.col("VendorID").alias("vendor_id")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("fare_amount").cast("decimal(20,8)")).cast("decimal(28,8)").alias("fare_amount"))
+
+
+def saved_fact(m: Model) -> DataFrame:
+    """The fact as a table by ingestion, written, replaced and read by a view that reaches one partition."""
+    path = parquet.scratch(m.log.sparkSession, "fact_trip")
+    for t in (m.fact.where("ingestion_id = 1"), m.fact):
+        parquet.save_table(t, path, ["ingestion_id"])
+    parquet.register_views({"saved_fact_trip": m.log.sparkSession.read.parquet(path)})
+    return m.log.sparkSession.sql("SELECT count(*) AS trip_count, count(DISTINCT raw_trip_id) AS distinct_trip_ids, sum(total_amount) AS total_amount FROM saved_fact_trip WHERE ingestion_id = 7")
+
+
+def null_order(m: Model) -> DataFrame:
+    """Passenger counts in rising order with null last, and in falling order with null first."""
+    counts = m.raw.groupBy("passenger_count").agg(F.count(F.lit(1)).alias("row_count"))  # a row a value
+    place = lambda order, name: F.row_number().over(Window.orderBy(order)).alias(name)
+    return counts.select("passenger_count", "row_count", place(F.asc_nulls_last("passenger_count"), "rising"), place(F.desc_nulls_first("passenger_count"), "falling"))
+
+
 def sample_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reproducible development sample."""
     return parquet.sample_trips(raw_trips(spark, sf_dir))
 
 
-#: Queries that SQL can't express: footers, and a sample by Spark's hash.
-UNCHECKED = {"s03_parquet_manifest": parquet_manifest, "s08_sample_trips": sample_trips}
-QUERIES = {name: _query(build) for name, build in (MODELS | validation.CHECKS | profile.REPORTS).items()} | UNCHECKED
+def _of_lake(build):
+    return lambda spark, sf_dir: build(Lake(spark, sf_dir))
+
+
+LAKES = {
+    "d11_audit_states": audit_states, "s06_raw_by_ingestion": raw_by_ingestion, "d06_deleted_rows": deleted_rows,
+    "v42_ingestion_checks": ingestion_checks, "s02_pruned_scan": pruned_scan,
+}
+SOURCES = {"s03_manifest_rows": manifest_rows, "s08_sample_trips": sample_trips}
+TABLES = {"s09_saved_fact": saved_fact, "o01_null_order": null_order}
+#: What SQL can't express: sizes and row groups in footers.
+UNCHECKED = {"s03_parquet_manifest": parquet_manifest}
+QUERIES = {name: _query(build) for name, build in (MODELS | validation.CHECKS | profile.REPORTS | TABLES).items()} | {name: _of_lake(build) for name, build in LAKES.items()} | SOURCES | UNCHECKED

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.prepare import prepare_raw
 from . import audit
 from .parquet import _path, check_file, parquet_manifest, read_trips
-from .raw import append_raw, assign_trip_ids, delete_ingestion, raw_trips
+from .raw import append_raw, assign_trip_ids, delete_ingestion
 
 
 @dataclass(frozen=True)
@@ -27,16 +27,11 @@ def reconcile(footer: int, read: int, loaded: int) -> None:
         raise ValueError(f"Row counts differ: footer {footer}, read {read}, loaded {loaded}")
 
 
-def _largest_id(spark: SparkSession, path: str) -> int:
-    from .parquet import exists
-
-    return (raw_trips(spark, path).agg(F.max("raw_trip_id")).first()[0] or 0) if exists(spark, path) else 0
-
-
 def ingest(spark: SparkSession, path: str, taxi_type: str, period_year: int, period_month: int, root: str) -> Result:
     """Load a file into ``root``/raw once; ``root``/audit tells what happened.
 
-    A file that a completed ingestion loaded already is skipped. On any error
+    A file that a completed ingestion loaded already is skipped. Trip ids follow
+    those of the ingestion before; a failed one leaves a gap. On any error
     the rows written so far go, the run is marked failed, and the error is
     raised again.
     """
@@ -46,14 +41,14 @@ def ingest(spark: SparkSession, path: str, taxi_type: str, period_year: int, per
     run = dict(source_file_name=path.rstrip("/").rsplit("/", 1)[-1], taxi_type=taxi_type, period_year=period_year, period_month=period_month, file_size_bytes=footer["size"])
     if audit.find_completed(audit.audit_log(spark, log_path), **run) is not None:
         return Result(audit.record_skipped(spark, log_path, **run), "skipped", 0, 0)
-    ingestion_id = audit.start_ingestion(spark, log_path, **run)
+    ingestion_id = audit.start_ingestion(spark, log_path, rows=footer["rows"], **run)
     staged = f"{root}/staged-{uuid.uuid4().hex}"
     read = 0
     try:
         prepare_raw(read_trips(spark, path)).write.parquet(staged)
         prepared = spark.read.parquet(staged)
         read = prepared.count()
-        loaded = append_raw(assign_trip_ids(prepared, _largest_id(spark, raw_path)), ingestion_id, raw_path)
+        loaded = append_raw(assign_trip_ids(prepared, audit.trip_ids(spark, log_path, ingestion_id)[0]), ingestion_id, raw_path)
         reconcile(footer["rows"], read, loaded)
         audit.complete_ingestion(spark, log_path, ingestion_id, read, loaded)
         return Result(ingestion_id, "completed", read, loaded)

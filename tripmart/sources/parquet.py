@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,13 +64,63 @@ def parquet_manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(footers, "path string, rows long, columns long, row_groups long, file_size_bytes long")
 
 
+def _plain(name: str, kind: str) -> Column:
+    """A value as text that any engine writes alike: numbers in ten-thousandths, times in microseconds, null as nothing."""
+    c = F.col(name)
+    if kind in ("double", "float"):
+        c = F.round(c * 10_000).cast("long")
+    elif kind == "timestamp_ntz":
+        c = F.unix_micros(F.to_timestamp_ltz(c))
+    elif kind == "timestamp":
+        c = F.unix_micros(c)
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def sample_trips(t: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
-    """``n`` rows, the same ones for the same rows and seed: the smallest by a hash of all columns."""
-    return t.orderBy(F.xxhash64(F.lit(seed), *t.columns), *t.columns).limit(n)
+    """``n`` rows, the same ones for the same rows and seed: the smallest by a digest of all columns."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_plain(c, kind) for c, kind in t.dtypes]))
+    return t.orderBy(digest, *t.columns).limit(n)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, which the session names; a local one on one machine only."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the application."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _path(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def stored(t: DataFrame, name: str) -> DataFrame:
+    """``t`` written once to the shared folder and read again: computed once, and of a size that Spark knows."""
+    path = scratch(t.sparkSession, name)
+    t.write.parquet(path)
+    return t.sparkSession.read.schema(t.schema).parquet(path)
+
+
+def _rename(fs, old, new) -> None:
+    """Hadoop tells a failed rename by its result alone."""
+    if not fs.rename(old, new):
+        raise OSError(f"could not rename {old} to {new}")
 
 
 def save_table(t: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table beside its place and swap it in, so that readers never see half of it."""
+    """Write a table beside its place and swap it in.
+
+    Readers never see half of it; one that opens it between the two renames
+    doesn't find it. If the second rename fails, the old table is put back. It
+    is deleted last.
+    """
     spark = t.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     writer = t.write.mode("errorifexists")
@@ -77,11 +129,15 @@ def save_table(t: DataFrame, path: str, partition_by: list[str] | None = None) -
     _, place = _path(spark, path)
     if fs.exists(place):
         _, old = _path(spark, f"{staged}.old")
-        fs.rename(place, old)
-        fs.rename(new, place)
+        _rename(fs, place, old)
+        try:
+            _rename(fs, new, place)
+        except Exception:
+            _rename(fs, old, place)
+            raise
         fs.delete(old, True)
     else:
-        fs.rename(new, place)
+        _rename(fs, new, place)
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:
