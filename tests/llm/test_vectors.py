@@ -1,6 +1,6 @@
 import numpy as np
 
-from tripmart.llm.embedding_dedup import near_vectors
+from tripmart.llm.embedding_dedup import Quantizer, centroids, near_vectors
 
 
 def brute(rows, threshold):
@@ -28,7 +28,7 @@ def test_against_brute_force(spark):
     rows += [(2000, rows[0][1], 1), (2001, rows[0][1], None), (2002, None, 0), (2003, [0.0] * 16, 0), (2004, [float("nan")] + [1.0] * 15, 0), (2005, [None] + [1.0] * 15, 0), (2006, [float("inf")] + [1.0] * 15, 0), (2007, [], 0), (2008, [3 * x for x in rows[5][1]], 2)]
     t = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, label int, n double")
     rows = [(r.vec_id, r.embedding, r.label) for r in t.collect()]
-    for block in (1024, 32):
+    for block in (4096, 32):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(t, block=block).collect()}
         want = brute(rows, 0.93)
         assert len(got) == len(rows)
@@ -44,3 +44,16 @@ def test_nothing_to_compare(spark):
     assert near_vectors(t.limit(0)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(one).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_two_levels_of_lists():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = centroids(x, 200, rng, direct=50)
+    assert 180 <= len(c) <= 220
+    q = Quantizer(x, 64)
+    codes, miss = q.encode(x, home := q.homes(x))
+    one = np.flatnonzero(home == home[0])
+    exact = np.linalg.norm(x[:40, None] - x[None, one], axis=2)
+    assert (np.abs(np.sqrt(np.maximum(q.distances(x[:40], home[0], codes[one]), 0)) - exact) <= miss[one] + 1e-9).all()

@@ -3,16 +3,18 @@
 Words are compared in lower case and without punctuation. Runs of four words of
 each test item, and any three words within five, in order, are seeds where they
 are rare: where the product of their words' shares of the whole corpus is at
-most ``RARE``; the eight rarest of each shape always are. The gaps let a copy be
-found whose edits leave no longer run; an item of fewer than four words has
+most ``RARE``; the eight rarest of each shape always are. Three words are looked
+for in the document at any of the gaps, so a copy is found whose edits leave no
+longer run, or whose words were put in or left out; an item of fewer than four words has
 itself as its seed, if rare. Words are counted over all documents, and
 the product tells common phrases from a leak that itself is frequent. A seed
 found in a document places a test item there; the words around it are aligned
 with the item (match 2, mismatch and gap -1), and the best score, as a share of
 the full one, decides. Edited and paraphrased copies keep most of their score.
 
-Test items go to the tasks in parts of at most ``PART_WORDS`` words, with as
-many passes inside one stage as there are parts; documents are never shuffled.
+Test items go to the tasks in parts of at most ``PART_WORDS`` words, one part at
+a time, so what is broadcast does not grow with the benchmark; the marks of one
+part are written before the next is sent. Documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing, nor do items of
 fewer than four words that are not rare; repeated items are found each, repeated rows marked
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record
+from .common import arrow_map, cut, fresh, record
 from .text import IS_SPACE, mix, slices, word_hashes
 from .text import words as split_words
 
@@ -55,12 +57,16 @@ def lowered(column: pa.Array):
 
 
 def shaped(hashes: np.ndarray, first: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words at all places of one shape within rows, and their first words."""
+    """Hashes of the words at all places of one shape within rows, and their first words.
+
+    Equal words in equal order have equal hashes in every shape of their number,
+    so words that were put in or left out between them do not matter.
+    """
     places = SHAPES[shape]
     n = len(hashes) - places[-1]
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    values = np.full(n, shape + 1, np.uint64)
+    values = np.full(n, len(places), np.uint64)
     for t in places:
         values = (values + hashes[t : t + n]) * np.uint64(0xD1342543DE82EF95)
         values ^= values >> np.uint64(29)
@@ -73,7 +79,7 @@ class Items:
     """Test items as word hashes, and their seeds in hash order."""
 
     def __init__(self, ids: list[int], texts: list[str], share: dict[int, float]):
-        self.ids, self.words, self.shapes = [], [], set()
+        self.ids, self.words, sizes = [], [], set()
         seeds, places = [], []
         for item, text in zip(ids, texts, strict=True):
             for _, _, buf, offsets in lowered(pa.array([text])):
@@ -91,11 +97,12 @@ class Items:
                     if len(h) >= N:
                         rare |= np.argsort(np.argsort(chance, kind="stable"), kind="stable") < AT_LEAST
                     if rare.any():
-                        self.shapes.add(k)
+                        sizes.add(len(shape))
                         seeds.append(values[rare])
                         places.append(np.column_stack([np.full(rare.sum(), len(self.ids)), at[rare]]))
                 self.ids.append(item)
                 self.words.append(h)
+        self.shapes = [k for k, shape in enumerate(SHAPES) if len(shape) in sizes]
         seeds_ = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(seeds_, kind="stable")
         self.places = np.concatenate(places)[order] if seeds else np.empty((0, 2), np.int64)
@@ -206,14 +213,15 @@ def word_shares(docs: DataFrame, wanted: np.ndarray) -> dict[int, float]:
     return {int(wanted[k]): n / total for k, n in counts.items()}
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, part_words: int = PART_WORDS) -> DataFrame:
-    """All columns of ``docs`` and ``matches``, the items (item, score) that score ``threshold`` or more, best first."""
+def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, part_words: int = PART_WORDS, column: str = "matches") -> DataFrame:
+    """All columns of ``docs`` and ``column``, the items (item, score) that score ``threshold`` or more, best first."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     length = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(length / (part_words * 4)))
     kind = "array<struct<item: long, score: double>>"
-    out = docs.withColumn("matches", F.array().cast(kind))
+    out = docs.withColumn(column, F.array().cast(kind))
     names, schema = out.columns, out.schema
+    sent = None
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # a bounded part
         if not rows:
@@ -226,16 +234,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, pa
         wanted = np.unique(np.concatenate(seen))
         if not len(wanted):
             continue
+        if sent is not None:  # one part in memory at a time
+            out = cut(out, "marked")
+            sent.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], texts, word_shares(docs, wanted)))
 
         def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             found = matches(batch.column("text").cast(pa.string()), sent.value)
-            before = batch.column("matches").to_pylist()
+            before = batch.column(column).to_pylist()
             lists = []
             for old, new in zip(before, found, strict=True):
                 both = [(m["item"], m["score"]) for m in old] + [(i, s) for i, s in new.items() if s >= threshold]
                 lists.append([{"item": i, "score": s} for i, s in sorted(both, key=lambda m: (-m[1], m[0]))])
-            cols = [pa.array(lists, batch.schema.field("matches").type) if c == "matches" else batch.column(c) for c in names]
+            cols = [pa.array(lists, batch.schema.field(column).type) if c == column else batch.column(c) for c in names]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         out = arrow_map(out, run, schema)
@@ -243,5 +254,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, pa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without a test item."""
-    return mark(docs, benchmark, threshold).where(F.size("matches") == 0).drop("matches")
+    """The documents without a test item, with all their columns."""
+    (column,) = fresh(docs, "matches")
+    return mark(docs, benchmark, threshold, column=column).where(F.size(column) == 0).drop(column)

@@ -1,9 +1,11 @@
 """Embedding near-dedup: inverted lists, product-quantised residuals, exact rerank.
 
-A coarse codebook and residual codebooks are trained on at most ``SAMPLE`` rows;
-every row is indexed. A vector lives in the list of its best centroid as eight
+A coarse codebook and residual codebooks are trained on about ``SAMPLE`` rows, or
+16 a list where that is more (262,144 at most); every row is indexed. The number of
+lists grows with the square root of the table, up to ``MOST_LISTS``. A vector lives in the list of its best centroid as eight
 subspace codes and the length of its quantisation error. It is a query in every
-list whose centroid scores within ``MARGIN`` of its best. Inside a list,
+list whose centroid scores within ``MARGIN`` of its best, but for those whose
+farthest row is too far away to reach the threshold. Inside a list,
 distances come from per-query tables looked up by code; since the error's
 length is kept, the triangle inequality tells which rows cannot reach the
 threshold, and only the others are scored by the exact cosine in double
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, grouped, record
 from .components import components
 
-SAMPLE, MARGIN, PARTS, CODES, BLOCK, MOST_LISTS = 16_384, 0.25, 8, 16, 1024, 1024
+SAMPLE, MARGIN, PARTS, CODES, BLOCK, MOST_LISTS = 16_384, 0.25, 8, 16, 4096, 16_384
 
 
 def unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -41,10 +43,16 @@ def unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def nearest(x: np.ndarray, c: np.ndarray, rows: int = 8192) -> np.ndarray:
+    """The index of the nearest centroid of each row."""
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([np.argmax(x[a : a + rows] @ c.T - half, 1) for a in range(0, len(x), rows)])
+
+
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        own = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), 1)
+        own = nearest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -53,12 +61,22 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c
 
 
+def centroids(x: np.ndarray, k: int, rng: np.random.Generator, direct: int = 1024) -> np.ndarray:
+    """k centroids, or about as many; beyond ``direct`` of them in two levels."""
+    if k <= direct:
+        return k_means(x, k, rng)
+    top = math.isqrt(k)
+    own = nearest(x, k_means(x, top, rng))
+    groups = [x[own == g] for g in range(top)]
+    return np.concatenate([k_means(g, max(1, round(k * len(g) / len(x))), rng) for g in groups if len(g)])
+
+
 class Quantizer:
     """Coarse centroids of unit length, and a codebook of residuals for each part of the dimensions."""
 
     def __init__(self, x: np.ndarray, lists: int, seed: int = 6):
         rng = np.random.default_rng(seed)
-        c = k_means(x, lists, rng)
+        c = centroids(x, lists, rng)
         norm = np.linalg.norm(c, axis=1, keepdims=True)
         self.coarse = c / np.where(norm > 0, norm, 1)
         self.cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
@@ -68,10 +86,10 @@ class Quantizer:
     def homes(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.coarse.T, 1)
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of all lists that score within ``margin`` of a row's best."""
+    def probes(self, x: np.ndarray, margin: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists that score within ``margin`` of a row's best, and ``least`` of the list at least."""
         s = x @ self.coarse.T
-        return np.nonzero(s >= s.max(1, keepdims=True) - margin)
+        return np.nonzero((s >= s.max(1, keepdims=True) - margin) & (s >= least))
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the lengths of what they miss."""
@@ -123,12 +141,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
     dim, total = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
     usable = _usable(vectors, dim)
     classes = cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count_distinct("vec_id").alias("copies")), "vector-classes")
+    lists = int(min(MOST_LISTS, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(total) / 3))))))
+    sample = max(sample, 16 * lists)
     picked = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).select("embedding").limit(2 * sample).toPandas()["embedding"]
     if not len(picked):
         picked = classes.select("embedding").limit(1).toPandas()["embedding"]
     if not len(picked):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = int(min(MOST_LISTS, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(total) / 3))))))
     model = spark.sparkContext.broadcast(Quantizer(unit(np.concatenate(picked.tolist()), dim), lists))
     label = dict(vectors.dtypes)["label"]
     element = dict(vectors.dtypes)["embedding"]
@@ -141,15 +160,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         x, own = flat(batch.column("embedding")), model.value
         home = own.homes(x)
         codes, miss = own.encode(x, home)
+        score = np.einsum("ij,ij->i", x, own.coarse[home])
         names = ("label", "cid", "copies", "embedding")
-        return record(**{c: batch.column(c) for c in names}, list=pa.array(home.astype(np.int32)), codes=pa.array([c.tobytes() for c in codes], pa.binary()), miss=pa.array(miss))
+        return record(**{c: batch.column(c) for c in names}, list=pa.array(home.astype(np.int32)), codes=pa.array([c.tobytes() for c in codes], pa.binary()), miss=pa.array(miss), score=pa.array(score))
 
     def asks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, home = model.value.probes(flat(batch.column("embedding")), margin)
+        row, home = model.value.probes(flat(batch.column("embedding")), margin, floor.value)
         at = pa.array(row)
         return record(**{c: batch.column(c).take(at) for c in ("label", "cid", "embedding")}, list=pa.array(home.astype(np.int32)))
 
-    data = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), homes, f"label {label}, cid long, copies long, embedding {element}, list int, codes binary, miss double"), "inverted-lists")
+    data = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), homes, f"label {label}, cid long, copies long, embedding {element}, list int, codes binary, miss double, score double"), "inverted-lists")
+    # a row at most arccos(lowest score) from its centroid is within reach only of vectors that far and the threshold's angle more
+    lowest = np.full(len(model.value.coarse), 2.0)
+    for r in data.groupBy("list").agg(F.min("score").alias("least")).collect():  # a number a list
+        lowest[r["list"]] = math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, r["least"]))) + math.acos(threshold) + 1e-6))
+    floor = spark.sparkContext.broadcast(lowest)
     queries = cut(arrow_map(classes.select("label", "cid", "embedding"), asks, f"label {label}, cid long, embedding {element}, list int"), "probes")
     count = lambda t, name: t.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     shape = count(data, "blocks").join(count(queries, "chunks"), ["label", "list"])
@@ -166,14 +191,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         rows, ask = table.slice(0, n).combine_chunks(), table.slice(n).combine_chunks()
         y, x = (flat(t["embedding"].combine_chunks()) for t in (rows, ask))
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(n, -1)
-        near = model.value.distances(x, int(table["list"][0].as_py()), codes) <= np.square(reach + rows["miss"].to_numpy())
         y_id, x_id = rows["cid"].to_numpy(), ask["cid"].to_numpy()
-        near &= x_id[:, None] != y_id[None, :]
-        linked = np.zeros_like(near)
-        at_q, at_d = np.nonzero(near)
-        for a in range(0, len(at_q), 1 << 16):
-            i, j = at_q[a : a + (1 << 16)], at_d[a : a + (1 << 16)]
-            linked[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+        linked = np.zeros((len(x), len(y)), bool)
+        bound, home = np.square(reach + rows["miss"].to_numpy()), int(table["list"][0].as_py())
+        for part in range(0, len(x), 256):
+            near = model.value.distances(x[part : part + 256], home, codes) <= bound
+            near &= x_id[part : part + 256, None] != y_id[None, :]
+            at_q, at_d = np.nonzero(near)
+            for a in range(0, len(at_q), 1 << 16):
+                i, j = at_q[a : a + (1 << 16)] + part, at_d[a : a + (1 << 16)]
+                linked[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
         found = linked @ rows["copies"].to_numpy()
         has = np.flatnonzero(found)
         pairs = forest(linked, x_id, y_id)

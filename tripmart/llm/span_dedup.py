@@ -17,7 +17,7 @@ Runs are grouped over all documents; the first is the one with the smallest
 hash is 0 where no other row has the doc_id, so that it takes no room. Equal runs
 of words that overlap in one text are one record, removed or kept together.
 
-The span hash has 64 bits. Counting and finding the first is an aggregate with
+The span hash has 128 bits. Counting and finding the first is an aggregate with
 partial sums on the map side, and the join back is an ordinary equi-join that
 adaptive execution can split, so a passage found in a third of all documents
 does not meet in one task.
@@ -38,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, fresh
 from .text import mix, powers, slices, word_hashes, words
 
 RUN, MIN_WORDS, LONGEST, EVERY = 3, 8, 16, 8
 MIN_BYTES, GRAM = 96, 26
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
@@ -119,19 +120,21 @@ def _sliding(best: np.ufunc, values: np.ndarray) -> np.ndarray:
     return best(values[: len(values) - (GRAM - wide)], values[GRAM - wide :])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """With ``__text``, which tells rows of one doc_id, or of none, apart: the hash of their texts, else 0."""
-    often = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__often")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__often"), "shared-ids")
-    apart = F.col("doc_id").isNull() | F.col("__often").isNotNull()
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """With a column ``name``, which tells rows of one doc_id, or of none, apart: the hash of their texts, else 0."""
+    often, n = fresh(docs, "often", "n")
+    shared = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(often)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(often), "shared-ids")
+    apart = F.col("doc_id").isNull() | F.col(often).isNotNull()
     text = F.when(apart, F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))
-    return docs.join(often, F.col("doc_id") == F.col("__often"), "left").withColumn("__text", text).drop("__often")
+    return docs.join(shared, F.col("doc_id") == F.col(often), "left").withColumn(name, text).drop(often)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, __text, the place a run starts at, and the run's hash; places are 64 times a piece's number, or a word's with its ties and a 1."""
+    """doc_id, text_hash, the place a run starts at, and two hashes of the run; places are 64 times a piece's number, or a word's with its ties and a 1."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        none = np.empty(0, np.int64)
+        rows, places, found, other = [none], [none], [none], [none]
         for lo, _, buf, offsets in slices(batch.column("text")):
             p = Pieces(buf, offsets)
             h = p.hashes
@@ -144,30 +147,37 @@ def spans(docs: DataFrame) -> DataFrame:
             own = np.searchsorted(p.first, gram, "right") - 1
             rows += [doc + lo, own + lo]
             places += [begin - p.own[doc] << 6, (gram - p.first[own] << 6) + 2 * far + 1]
+            again = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(mix(h ^ _OTHER) * up[: len(h)], out=again[1:])
             for kind, a, b in ((0, p.edges[begin], p.edges[p.stop[begin]]), (1 << 40, gram, gram + GRAM)):
-                found.append(mix((sums[b] - sums[a]) * down[a] + (b - a + kind).astype(np.uint64)).view(np.int64))
+                for out, s in ((found, sums), (other, again)):
+                    out.append(mix((s[b] - s[a]) * down[a] + (b - a + kind).astype(np.uint64)).view(np.int64))
         at = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__text").take(at), pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], names=["doc_id", "__text", "place", "span"])
+        columns = [pa.array(np.concatenate(c)) for c in (places, found, other)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *columns], names=["doc_id", "text_hash", "place", "span", "span2"])
 
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "__text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, __text long, place long, span long")
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "text_hash"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, place long, span long, span2 long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id, __text, and the places of its non-first runs."""
-    heads = found.groupBy("span").agg(F.min(F.struct("doc_id", "__text", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("span", "head")
-    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("__text") == F.col("head.__text")) & (F.col("place") == F.col("head.place"))
-    return found.join(heads, "span").where(~first).groupBy("doc_id", "__text").agg(F.collect_set("place").alias("__runs")).withColumnsRenamed({"doc_id": "__id", "__text": "__hash"})
+    """doc_id, text_hash, and the places (``runs``) of its non-first runs."""
+    span = ["span", "span2"]
+    heads = found.groupBy(*span).agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*span, "head")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")) & (F.col("place") == F.col("head.place"))
+    return found.join(heads, span).where(~first).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("runs"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the kept text, and n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
-    names, rows = docs.columns, keyed(docs)
-    gone = repeated(spans(rows))
+    own_hash, gone_id, gone_hash, gone_runs = fresh(docs, "own_hash", "gone_id", "gone_hash", "gone_runs")
+    names, rows = docs.columns, keyed(docs, own_hash)
+    found = spans(rows.select("doc_id", "text", F.col(own_hash).alias("text_hash")))
+    gone = repeated(found).toDF(gone_id, gone_hash, gone_runs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        runs = batch.column("__runs").to_pylist()
+        runs = batch.column(gone_runs).to_pylist()
         for lo, hi, buf, offsets in slices(batch.column("text")):
             p = Pieces(buf, offsets)
             total[lo:hi] = np.diff(p.own)
@@ -192,6 +202,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         own_cols = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*own_cols, pa.array(total), pa.array(removed)], names=[*names, "n_sentences", "n_removed"])
 
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left").drop("__id", "__hash", "__text")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash))
+    joined = rows.join(gone, same, "left").drop(gone_id, gone_hash, own_hash)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_sentences long, n_removed long"
     return arrow_map(joined, run, schema)

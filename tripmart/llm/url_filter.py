@@ -22,7 +22,8 @@ BITS, SIZES = 14, (3, 4, 5)
 
 #: Labelled URLs (fixed values): 1 to block, 0 to allow.
 LABELLED = [
-    ("spam-farm.example.org/en/1", 1), ("spam-farm.example.com/de/2.html", 1), ("spam-farm.example.net/offers", 1),
+    ("the-spam-farm.biz/en/1", 1), ("spam-farms.info/de/2.html", 1), ("farm-of-spam.net/offers", 1),
+    ("www.spam-harvest.org/de/12", 1), ("m.spam-mill.com/es/7", 1), ("blog.spam-factory.org/fr/31.html", 1), ("the-spam-farmers.org/en/8", 1),
     ("www.spam-links.biz/buy-now", 1), ("spam-site.info/cheap", 1), ("best-spam-deals.net/page/1", 1),
     ("link-farm.biz/out.php", 1), ("linkfarm.info/index", 1), ("content-farm.net/article-9", 1),
     ("cheap-pills.biz/viagra-online", 1), ("online-pharmacy-rx.info/buy/cialis", 1), ("free-casino-bonus.com/slots", 1),
@@ -33,10 +34,10 @@ LABELLED = [
     ("warez-torrent.info/crack/serial", 1), ("make-money-fast.biz/work-from-home", 1), ("crypto-doubler.info/invest", 1),
     ("cheap-followers.biz/buy-likes", 1), ("parked-domain.info/?ref=spam", 1), ("doorway-pages.biz/kw/12", 1),
     ("news.example.com/en/100", 0), ("blog.example.net/fr/2024/entry.html", 0), ("www.example.org/de/about", 0),
-    ("m.example.com/es/330", 0), ("therha.example.com/en/676", 0), ("thther.example.org/en/685", 0),
-    ("tionsh.example.net/es/533/", 0), ("blog.ththan.example.net/en/960", 0), ("www.thand.example.com/en/78", 0),
-    ("m.ering.example.org/fr/9120.html", 0), ("ononth.example.com/de/51", 0), ("erthan.example.net/en/4/", 0),
-    ("lichung.example.org/de/12", 0), ("ciones.example.com/es/99", 0), ("ouelle.example.net/fr/77.html", 0),
+    ("m.harbour-news.com/es/330", 0), ("northern-herald.com/en/676", 0), ("otherwise.org/en/685", 0),
+    ("stations.net/es/533/", 0), ("blog.gathering.net/en/960", 0), ("www.thunder-bay.com/en/78", 0),
+    ("m.engineering.org/fr/9120.html", 0), ("monthly.com/de/51", 0), ("earthen.net/en/4/", 0),
+    ("zeitung.org/de/12", 0), ("canciones.com/es/99", 0), ("nouvelle.net/fr/77.html", 0),
     ("docs.project.org/guide/install", 0), ("wiki.university.edu/history/europe", 0), ("library.org/catalog/item/55", 0),
     ("city-council.gov/services/parks", 0), ("museum.org/collection/painting", 0), ("journal.org/article/2021/44", 0),
     ("openscience.net/paper/881", 0), ("recipes.home.net/soup/lentil", 0), ("travel.example.org/fr/paris", 0),
