@@ -24,6 +24,7 @@ BITS, SIZES = 14, (3, 4, 5)
 LABELLED = [
     ("the-spam-farm.biz/en/1", 1), ("spam-farms.info/de/2.html", 1), ("farm-of-spam.net/offers", 1),
     ("www.spam-harvest.org/de/12", 1), ("m.spam-mill.com/es/7", 1), ("blog.spam-factory.org/fr/31.html", 1), ("the-spam-farmers.org/en/8", 1),
+    ("spam-shop.example.org/fr/buy", 1), ("all-spam.example.com/en/list", 1), ("farmed-spam.example.net/de/top", 1),
     ("www.spam-links.biz/buy-now", 1), ("spam-site.info/cheap", 1), ("best-spam-deals.net/page/1", 1),
     ("link-farm.biz/out.php", 1), ("linkfarm.info/index", 1), ("content-farm.net/article-9", 1),
     ("cheap-pills.biz/viagra-online", 1), ("online-pharmacy-rx.info/buy/cialis", 1), ("free-casino-bonus.com/slots", 1),
