@@ -6,33 +6,38 @@ aggregates with partial results on the map side, so a node with very many links
 is no single task's work; after about log(n) rounds every component is a star
 around its smallest node. Each round is written to the shared folder, and so are the
 minima: a join of two written tables is one that adaptive execution can split
-where a node has many links, or broadcast where the graph is small. Adaptive
-execution sizes the partitions by the rows that are left. What a round has
-read is deleted when the next one is written.
+where a node has many links, or broadcast where the graph is small. A round is
+written in as many parts as its counted links ask for, ``ROWS`` each, so the last
+rounds of a large graph are not thousands of empty tasks, and no part grows with
+the graph. What a round has read is deleted when the next one is written.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, forget
 
+ROWS = 100_000
+
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, parts: int) -> DataFrame:
     """Every edge once, its larger end now linked to the smallest node around the smaller end."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "stars")
-    out = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-stars")
+    least = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")).coalesce(parts), "stars")
+    out = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts), "large-stars")
     forget(least)
     return out
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, parts: int) -> DataFrame:
     """Smaller neighbours of a node, and the node, linked to the smallest of them."""
-    near = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
+    near = cut(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "stars")
     moved = edges.join(near, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-    out = cut(moved.where("u != v").distinct(), "links")
+    out = cut(moved.where("u != v").distinct().coalesce(parts), "links")
     forget(near)
     return out
 
@@ -42,8 +47,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     high, low = F.greatest("u", "v"), F.least("u", "v")
     edges = cut(links.where("u != v").select(high.alias("u"), low.alias("v")).distinct(), "links")
     for _ in range(rounds):
-        large = _large(edges)
-        after = _small(large)
+        parts = math.ceil(2 * edges.count() / ROWS) or 1
+        large = _large(edges, parts)
+        after = _small(large, parts)
         forget(edges, large)
         edges = after
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("lower"), F.lit(0).alias("upper")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("lower"), F.lit(1).alias("upper")))
