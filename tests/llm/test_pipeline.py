@@ -26,6 +26,28 @@ def test_stages_take_effect(spark):
     assert decontaminate.mark(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("size(matches) > 0").count() == 0
 
 
+def test_stages_on_messy_rows(spark, docs, rows, none):
+    long = "word " * 300_000 + "end"
+    more = spark.createDataFrame([(900, long, 1), (900, long, 1), (901, None, 2)], "doc_id long, text string, n_lines int")
+    t = docs.unionByName(more, allowMissingColumns=True)
+    copies = 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, t, SF)
+        assert out.columns == t.columns, name
+        got = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert not got - collections.Counter([i for i, _ in rows] + [900, 900, 901]), name
+        copies += got[900]
+        assert stage(spark, none, SF).count() == 0 and stage(spark, none, SF).columns == none.columns
+        if name == "near_dedup":
+            assert all(got[i] for i in (400, 401, 403, None))
+        if name == "line_dedup":
+            assert sum(got.values()) == len(rows) + 3 and {r.n_lines for r in out.where("doc_id = 901").collect()} == {2}
+    assert copies >= 6  # rows of one document go or stay together
+    packed = corpus_pipeline.packing_stage(spark, t, SF)
+    assert packed.where("doc_id = 900").agg({"length": "sum"}).first()[0] == 2 * packed.where("doc_id = 900").first().doc_tokens
+    assert corpus_pipeline.packing_stage(spark, none, SF).count() == 0
+
+
 def plain_quality(docs, labels):
     """The discriminant over all rows at once."""
     x = quality.statistics(pa.array([t for _, t in docs], pa.string()))

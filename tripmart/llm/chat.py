@@ -10,8 +10,9 @@ front, which ``unescape`` takes off again. The loss mask is the prefix sum of
 Defined results: null text or role is empty; rows of one conversation are
 ordered by turn (null first), then role, then text, so ties and repeated rows
 all stay, in that order; null conv_id is a conversation of its own; an empty
-table gives no rows; extra columns are ignored. A conversation's rows pass one
-at a time through running hashes, so its length is not bounded by memory.
+table gives no rows; extra columns are ignored. Turns are encoded and decoded
+wherever they lie; only their bytes are sorted by conversation and pass one at a
+time through running hashes, so its length is not bounded by memory.
 """
 
 from __future__ import annotations
@@ -105,6 +106,9 @@ def format_turns(conversations: DataFrame, tokenizer: str | None = None) -> Data
     return arrow_map(wanted, run, f"conv_id {dict(wanted.dtypes)['conv_id']}, turn long, role string, tie binary, ids binary, mask binary")
 
 
+READ = ("said", "learnt", "loss_chars", "chars", "tokens", "loss_tokens")
+
+
 class _Digest:
     """What one conversation's output reads back as, fed a turn at a time."""
 
@@ -112,17 +116,14 @@ class _Digest:
         self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = self.tokens = self.loss_tokens = 0
 
-    def feed(self, ids: bytes, mask: bytes, enc) -> None:
-        tokens, counted = np.frombuffer(ids, np.uint32), np.frombuffer(mask, bool)
-        role, text = read_turn(tokens, enc)
-        learnt = unescape(decode(tokens[counted], enc))
-        self.turns.update(f"{role}\n{text}\n".encode())
-        self.loss.update(learnt.encode())
+    def feed(self, said: bytes, learnt: bytes, loss_chars: int, chars: int, tokens: int, loss_tokens: int) -> None:
+        self.turns.update(said)
+        self.loss.update(learnt)
         self.n += 1
-        self.loss_chars += len(learnt)
-        self.chars += len(decode(tokens, enc))
-        self.tokens += len(tokens)
-        self.loss_tokens += int(counted.sum())
+        self.loss_chars += loss_chars
+        self.chars += chars
+        self.tokens += tokens
+        self.loss_tokens += loss_tokens
 
     def row(self) -> tuple:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.tokens, self.loss_tokens
@@ -131,13 +132,31 @@ class _Digest:
 FIELDS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens")
 
 
+def read_back(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The texts of turns, decoded from their ids: ``said`` (role and text, a line end behind each), ``learnt`` under the mask, and lengths."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoding(tokenizer)
+        rows = []
+        for ids, mask in zip(batch.column("ids").to_pylist(), batch.column("mask").to_pylist(), strict=True):
+            tokens, counted = np.frombuffer(ids, np.uint32), np.frombuffer(mask, bool)
+            role, text = read_turn(tokens, enc)
+            learnt = unescape(decode(tokens[counted], enc))
+            rows.append((f"{role}\n{text}\n".encode(), learnt.encode(), len(learnt), len(decode(tokens, enc)), len(tokens), int(counted.sum())))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        return record(**{c: batch.column(c) for c in ("conv_id", "turn", "role", "tie")}, **{name: pa.array(c, kind) for name, c, kind in zip(READ, cols, kinds, strict=True)})
+
+    return arrow_map(turns, run, f"conv_id {dict(turns.dtypes)['conv_id']}, turn long, role string, tie binary, said binary, learnt binary, " + ", ".join(f"{c} long" for c in READ[2:]))
+
+
 def digest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row per conversation, read back from the ids and masks of ``format_turns``."""
     kind = dict(turns.dtypes)["conv_id"]
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, now, done = encoding(tokenizer), None, []
+        now, done = None, []
         kinds = None
 
         def out() -> pa.RecordBatch:
@@ -146,12 +165,12 @@ def digest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
         for batch in small(batches):
             kinds = batch.column("conv_id").type
-            for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "mask")), strict=True):
+            for conv, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", *READ)), strict=True):
                 if now is None or now.conv_id != conv:
                     if now is not None:
                         done.append(now.row())
                     now = _Digest(conv)
-                now.feed(ids, mask, enc)
+                now.feed(*turn)
             if len(done) >= 1000:
                 yield out()
                 done = []
@@ -159,5 +178,5 @@ def digest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
             done.append(now.row())
             yield out()
 
-    order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
-    return order.select("conv_id", "ids", "mask").mapInArrow(run, schema)
+    order = read_back(turns, tokenizer).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
+    return order.select("conv_id", *READ).mapInArrow(run, schema)

@@ -91,7 +91,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-_TURN = [np.uint64(pow(0xD1342543DE82EF95, t + 1, 1 << 64)) for t in range(16)]
+def _turn(t: int) -> np.uint64:
+    return np.uint64(pow(0xD1342543DE82EF95, t + 1, 1 << 64))
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = True) ->
     if total >= n:
         runs = np.zeros(total - n + 1, np.uint64)
         for t in range(n):
-            runs += hashes[t : total - n + 1 + t] * _TURN[t]
+            runs += hashes[t : total - n + 1 + t] * _turn(t)
         runs = mix(runs)
     else:
         runs = np.empty(0, np.uint64)
@@ -116,7 +117,7 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = True) ->
         extra = np.zeros(len(few), np.uint64)
         for t in range(n - 1):
             has = count[few] > t
-            extra[has] += hashes[first[few[has]] + t] * _TURN[t]
+            extra[has] += hashes[first[few[has]] + t] * _turn(t)
         extra = mix(extra ^ (count[few].astype(np.uint64) + np.uint64(77)))
         at = np.concatenate([at, first[few]])
         values = np.concatenate([values, extra])
