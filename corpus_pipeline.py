@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+All stages take texts of any length, repeated rows, rows without a doc_id and
+empty tables; all but the last keep every column, whatever its name.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmart.llm import decontaminate, line_dedup, minhash, packing, quality
-from tripmart.llm.common import cut, table
+from tripmart.llm.common import cut, fresh, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored as empty ones, repeated rows alike. Without
+    labels of both classes nothing is learnt and all stay.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents or more share stay in one; n_chars follows the text."""
-    out = line_dedup.drop_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", text.cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Lines that five documents or more share stay in one; n_chars follows the text.
+
+    A null text becomes an empty one. Rows of one doc_id are one document; rows
+    without one count as no document, and lose shared lines.
+    """
+    aside = {c: fresh(docs, f"own_{c}")[0] for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    out = line_dedup.drop_lines(docs.withColumnsRenamed(aside))
+    if "n_chars" in docs.columns:
+        text = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", text.cast(dict(docs.dtypes)["n_chars"]))
+    return out.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +46,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go, repeated rows alike; null and empty texts stay, and all with an empty benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, packed into sequences."""
+    """Pieces of what is left, packed into sequences; null and empty texts are their closing id, repeated rows are packed each, other columns go."""
     return packing.pack(docs)
 
 
