@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import label_missing
 from ..functions.trips import duration_minutes
 from ..operators.flags import is_speeding
+from ..operators.quantiles import exact_quantiles
 from ..schema import RAW_COLUMNS
 
 PERIOD = ("2024-01-01", "2024-02-01")
@@ -206,11 +209,13 @@ def quality_summary(trips: DataFrame, period: tuple[str, str] = PERIOD, limit: f
 
 def describe(trips: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles, a row per column."""
-    cells = []
+    rows = []
     for c in columns:
         x = F.col(c).cast("double")
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.5).alias("q50"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("max")))
-    return trips.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        plain = trips.agg(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        both = plain.crossJoin(exact_quantiles(trips, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))  # a row each
+        rows.append(both.select("column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def negative_transactions(trips: DataFrame) -> DataFrame:
@@ -232,21 +237,18 @@ def nonpositive_durations(trips: DataFrame) -> DataFrame:
     return with_explored_speed(trips).where("trip_duration_minutes <= 0").select("raw_trip_id", "pickup_datetime", "dropoff_datetime", "trip_duration_minutes", "trip_distance", "total_amount")
 
 
-MAIN = 7
-
-
 def _of(report, *args):
-    return lambda m: report(of_ingestion(m.raw, MAIN), *args)
+    return lambda m: report(of_ingestion(m.raw, m.main), *args)
 
 
 def _statistics(m):
     """Statistics of negative transactions, rounded to four places."""
-    out = describe(negative_transactions(of_ingestion(m.raw, MAIN)), ["fare_amount", "tip_amount", "total_amount"])
+    out = describe(negative_transactions(of_ingestion(m.raw, m.main)), ["fare_amount", "tip_amount", "total_amount"])
     return out.select("column_name", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
 def _shortest(m):
-    rows = shortest_durations(of_ingestion(m.raw, MAIN))
+    rows = shortest_durations(of_ingestion(m.raw, m.main))
     seconds = F.timestamp_diff("SECOND", F.col("pickup_datetime"), F.col("dropoff_datetime"))
     return rows.withColumn("trip_duration_seconds", seconds).drop("trip_duration")
 
@@ -272,7 +274,7 @@ REPORTS = {
     "r12_flag_labels": _of(flag_labels),
     "r12_rare_vendors": _of(rare_groups, "vendor_id", 2000),
     "r12_rare_payments": _of(rare_groups, "payment_type", 100),
-    "r13_trips_with_run": lambda m: trips_with_run(of_ingestion(m.raw, MAIN), m.log),
+    "r13_trips_with_run": lambda m: trips_with_run(of_ingestion(m.raw, m.main), m.log),
     "r13_loaded_and_stored": lambda m: loaded_and_stored(m.raw, m.log),
     "r13_orphan_rows": lambda m: orphan_rows(m.raw, m.log),
     "r14_profile_summary": _of(profile_summary),

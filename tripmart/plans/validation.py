@@ -2,7 +2,7 @@
 
 A check gives violations, which must be none, or a report of differences, which
 must be 0. ``CHECKS`` runs each over a ``Model``-like object with raw, log,
-staging, dims, fact, daily and hourly.
+staging, dims, fact, daily, hourly and main, the ingestion that checks of one month take.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from ..operators.measures import COUNTS
 from ..schema import FLAGS, MISSING, MONEY_COLUMNS, PAYMENTS, RATECODES, STATUSES, STORE_AND_FWD, VENDORS
 from . import analytics, marts
 
-MAIN = 7
 ADDITIVE = ["trip_count", *COUNTS, "positive_total_amount", "negative_total_amount", "net_total_amount"]
 OPERATIONAL = ["ingestion_id", "pickup_datetime", "dropoff_datetime", "pickup_location_id", "dropoff_location_id", "passenger_count", "trip_distance", "trip_duration_minutes", "average_speed_mph", "loaded_at"]
 
@@ -28,8 +27,9 @@ def _n(name: str = "row_count") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def _main(t: DataFrame) -> DataFrame:
-    return t.where(F.col("ingestion_id") == MAIN)
+def _main(m, t: DataFrame) -> DataFrame:
+    """The rows of the ingestion that the model's checks of one month are about."""
+    return t.where(F.col("ingestion_id") == m.main)
 
 
 # staging
@@ -356,27 +356,27 @@ def _grain_report(m):
 CHECKS = {
     "v01_raw_and_staging": lambda m: raw_and_staging(m.raw, m.staging),
     "v02_distinct_trips": lambda m: distinct_trips(m.staging),
-    "v03_flag_counts": lambda m: flag_counts(_main(m.staging)),
-    "v04_inconsistent_speeds": lambda m: inconsistent_speeds(_main(m.staging)),
-    "v05_money_precision": lambda m: money_precision(_main(m.raw)),
-    "v06_code_counts": lambda m: code_counts(_main(m.staging)),
-    "v06_unrecognized_codes": lambda m: unrecognized_codes(_main(m.staging)),
+    "v03_flag_counts": lambda m: flag_counts(_main(m, m.staging)),
+    "v04_inconsistent_speeds": lambda m: inconsistent_speeds(_main(m, m.staging)),
+    "v05_money_precision": lambda m: money_precision(_main(m, m.raw)),
+    "v06_code_counts": lambda m: code_counts(_main(m, m.staging)),
+    "v06_unrecognized_codes": lambda m: unrecognized_codes(_main(m, m.staging)),
     "v07_daily_ranges": lambda m: daily_ranges(m.daily),
     "v08_grain": _grain_report,
     "v09_daily_reconciliation": lambda m: reconcile_totals(staging_totals(analytics.eligible_daily(m.staging)), metric_totals(m.daily), ["ingestion_id"], ADDITIVE),
     "v10_monetary_identity": lambda m: broken_identity(m.daily, ["ingestion_id", "pickup_date"]),
     "v11_outside_month": lambda m: outside_month(m.daily),
-    "v12_known_daily": lambda m: daily_ranges(_main(m.daily)),
+    "v12_known_daily": lambda m: daily_ranges(_main(m, m.daily)),
     "v13_hourly_ranges": lambda m: hourly_ranges(m.hourly),
     "v14_hourly_reconciliation": lambda m: reconcile_totals(staging_totals(analytics.eligible_hourly(m.staging)), metric_totals(m.hourly), ["ingestion_id"], ADDITIVE),
     "v15_hourly_against_daily": lambda m: hourly_against_daily(m.hourly, m.daily),
     "v16_invalid_hours": lambda m: invalid_hours(m.hourly),
-    "v17_known_hourly": lambda m: hourly_ranges(_main(m.hourly)),
+    "v17_known_hourly": lambda m: hourly_ranges(_main(m, m.hourly)),
     "v18_daily_mart_ranges": lambda m: mart_ranges(_daily_mart(m), "pickup_date", "pickup_dates"),
     "v19_daily_mart_totals": lambda m: reconcile_totals(metric_totals(m.daily), metric_totals(_daily_mart(m)), ["ingestion_id"], ADDITIVE),
     "v20_daily_mart_windows": lambda m: daily_windows(_daily_mart(m)),
     "v21_daily_mart_final": lambda m: daily_final(_daily_mart(m)),
-    "v22_known_daily_mart": lambda m: daily_known(_main(_daily_mart(m))),
+    "v22_known_daily_mart": lambda m: daily_known(_main(m, _daily_mart(m))),
     "v23_hourly_mart_ranges": lambda m: mart_ranges(_hourly_mart(m), "pickup_hour", "pickup_hours"),
     "v24_hourly_mart_totals": lambda m: profile_against_hourly(_hourly_mart(m), m.hourly),
     "v25_hourly_mart_windows": lambda m: profile_windows(_hourly_mart(m), m.hourly),

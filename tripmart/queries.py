@@ -87,7 +87,8 @@ class Model:
     staging, fact and marts stay plans over the trips.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, main: int = 7):
+        self.main = main
         self.log = parquet.stored(ingestion_log(spark, sf_dir), "audit-log")
         self.raw = raw_trips(spark, sf_dir)
         self.staging = staging.staging_trips(self.raw, self.log)
