@@ -5,8 +5,8 @@ key is a pair of sub-keys, one of each collection: 72 minhashes give 144 tables
 of six rows, where plain banding would need 864. A pair at a similarity of 0.8
 shares a key with a probability of 0.9996, at 0.85 of 0.99998.
 
-Documents with equal sets form a class and are searched once. Classes that
-share a table key with a bucket's smallest member form a candidate group; links
+Documents with equal sets form a class and are searched once. Sub-keys that one
+class alone has are left out before the pairs are made. Classes that share a table key with a bucket's smallest member form a candidate group; links
 are then confirmed inside the group, on full shingle sets and in blocks of
 bounded size: first every block in itself, then, where a group has several
 blocks, the members outside its largest component against all its blocks.
@@ -101,10 +101,19 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(hashed, run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """cid and those sub-keys of either collection (``left``, ``right``) that another class has too: only they can meet in a table."""
+    subs = classes.select("cid", F.posexplode("keys").alias("place", "sub"))
+    common = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sub")
+    side = lambda of, name: F.collect_list(F.when(of, F.col("sub"))).alias(name)
+    first = F.col("place") < COLLECTION
+    return subs.join(common.hint("merge"), "sub").groupBy("cid").agg(side(first, "left"), side(~first, "right"))
+
+
 def _tables(classes: DataFrame, *more: str) -> DataFrame:
     """cid, further columns, and the table keys: every pair of a sub-key of either collection."""
-    left, right = F.slice("keys", 1, COLLECTION), F.slice("keys", COLLECTION + 1, COLLECTION)
-    return classes.select("cid", *more, F.explode(left).alias("a"), right.alias("bs")).select("cid", *more, F.explode("bs").alias("b"), "a").select("cid", *more, F.xxhash64("a", "b").alias("key"))
+    pairs = classes.select("cid", *more, F.explode("left").alias("a"), "right").select("cid", *more, "a", F.explode("right").alias("b"))
+    return pairs.select("cid", *more, F.xxhash64("a", "b").alias("key"))
 
 
 def link_sets(sets: list[np.ndarray], labels: np.ndarray, query: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -186,7 +195,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: i
     if huge.isEmpty():
         return out
     # their buckets take the place of the groups
-    placed = cut(_tables(classes.join(huge.select("cid", "label"), "cid"), "label"), "bucket-members")
+    left, right = F.slice("keys", 1, COLLECTION), F.slice("keys", COLLECTION + 1, COLLECTION)
+    placed = cut(_tables(classes.join(huge.select("cid", "label"), "cid").select("cid", "label", left.alias("left"), right.alias("right")), "label"), "bucket-members")
     mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     within = placed.join(mixed, "key").select(F.col("key").alias("grp"), "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid")
     within = cut(within.join(huge.select("cid", "label", "shingles"), "cid").select("grp", "blocks", "block", "cid", "label", "shingles"), "bucket-sets")
@@ -199,7 +209,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = cut(sketches(docs, k), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys")), "set-classes")
-    tables = _tables(classes)
+    tables = _tables(_shared(classes))
     buckets = tables.groupBy("key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
     stars = tables.join(buckets.hint("merge"), "key").where("cid != rep").select(F.col("cid").alias("u"), F.col("rep").alias("v")).distinct()
     groups = cut(components(stars), "candidate-groups")
