@@ -28,6 +28,7 @@ SOURCE_COLUMNS = {
     "cbd_congestion_fee": "cbd_congestion_fee",
 }
 RAW_COLUMNS = list(SOURCE_COLUMNS.values())
+#: Column groups (fixed values).
 INTEGER_COLUMNS = ["vendor_id", "passenger_count", "ratecode_id", "pickup_location_id", "dropoff_location_id", "payment_type"]
 TIMESTAMP_COLUMNS = ["pickup_datetime", "dropoff_datetime"]
 TEXT_COLUMNS = ["store_and_fwd_flag"]
@@ -42,6 +43,7 @@ STORE_AND_FWD = {"Y": "Store and forward trip", "N": "Not a store and forward tr
 UNRECOGNIZED, MISSING = "Unrecognized", "Missing"
 UNKNOWN_RATECODE, UNKNOWN_PAYMENT = 99, 5
 
+#: Schema and states of the audit log (fixed values).
 LOG = T.StructType(
     [
         T.StructField("ingestion_id", T.LongType(), False),
@@ -61,6 +63,7 @@ LOG = T.StructType(
 )
 STATUSES = ["started", "completed", "failed", "skipped"]
 
+#: Quality flags of a trip (fixed values).
 FLAGS = [
     "has_missing_datetime", "is_nonpositive_duration", "is_duration_over_24_hours", "is_negative_distance", "is_zero_distance",
     "is_pickup_outside_expected_period", "has_missing_trip_attributes", "is_negative_fare", "is_negative_total_amount", "is_negative_transaction",
