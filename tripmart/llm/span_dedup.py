@@ -17,10 +17,11 @@ Runs are grouped over all documents; the first is the one with the smallest
 hash is 0 where no other row has the doc_id, so that it takes no room. Equal runs
 of words that overlap in one text are one record, removed or kept together.
 
-The span hash has 128 bits. Counting and finding the first is an aggregate with
-partial sums on the map side, and the join back is an ordinary equi-join that
-adaptive execution can split, so a passage found in a third of all documents
-does not meet in one task.
+The span hash has 128 bits. Half of them tell which runs are candidates: a count
+with partial sums on the map side, and a join that drops all others. What is left
+is grouped by the whole hash. Finding the first is an aggregate with partial
+minima, and joins are ordinary equi-joins that adaptive execution can split, so a
+passage found in a third of all documents does not meet in one task.
 
 Defined results: null text is empty and stays empty; texts with fewer than
 three sentences and fewer than 51 words lose nothing; n_removed counts the
@@ -129,38 +130,40 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return docs.join(shared, F.col("doc_id") == F.col(often), "left").withColumn(name, text).drop(often)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, the place a run starts at, and two hashes of the run; places are 64 times a piece's number, or a word's with its ties and a 1."""
+def spans(docs: DataFrame, second: bool = True) -> DataFrame:
+    """doc_id, text_hash, the place a run starts at, and its hash, or two; places are 64 times a piece's number, or a word's with its ties and a 1."""
+    hashes = ("span", "span2")[: 1 + second]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         none = np.empty(0, np.int64)
-        rows, places, found, other = [none], [none], [none], [none]
+        rows, places, found = [none], [none], [[none] for _ in hashes]
         for lo, _, buf, offsets in slices(batch.column("text")):
             p = Pieces(buf, offsets)
             h = p.hashes
             up, down = powers(len(h) + 1)
-            sums = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * up[: len(h)], out=sums[1:])
+            sums = np.zeros((len(hashes), len(h) + 1), np.uint64)
+            for s, words_ in zip(sums, (h, mix(h ^ _OTHER)) if second else (h,), strict=True):
+                np.cumsum(words_ * up[: len(h)], out=s[1:])
             begin = np.flatnonzero(p.stop >= 0)
-            gram, far = p.grams(sums, down)
+            gram, far = p.grams(sums[0], down)
             doc = np.searchsorted(p.own, begin, "right") - 1
             own = np.searchsorted(p.first, gram, "right") - 1
             rows += [doc + lo, own + lo]
             places += [begin - p.own[doc] << 6, (gram - p.first[own] << 6) + 2 * far + 1]
-            again = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(mix(h ^ _OTHER) * up[: len(h)], out=again[1:])
             for kind, a, b in ((0, p.edges[begin], p.edges[p.stop[begin]]), (1 << 40, gram, gram + GRAM)):
-                for out, s in ((found, sums), (other, again)):
+                for out, s in zip(found, sums, strict=True):
                     out.append(mix((s[b] - s[a]) * down[a] + (b - a + kind).astype(np.uint64)).view(np.int64))
         at = pa.array(np.concatenate(rows))
-        columns = [pa.array(np.concatenate(c)) for c in (places, found, other)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *columns], names=["doc_id", "text_hash", "place", "span", "span2"])
+        columns = [pa.array(np.concatenate(c)) for c in (places, *found)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *columns], names=["doc_id", "text_hash", "place", *hashes])
 
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "text_hash"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, place long, span long, span2 long")
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "text_hash"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, place long, " + ", ".join(f"{c} long" for c in hashes))
 
 
-def repeated(found: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, and the places (``runs``) of its non-first runs."""
+    often = spans(docs, second=False).groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span")
+    found = cut(spans(docs).join(often, "span", "left_semi"), "repeated-runs")
     span = ["span", "span2"]
     heads = found.groupBy(*span).agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*span, "head")
     first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")) & (F.col("place") == F.col("head.place"))
@@ -172,8 +175,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_sentences", "n_removed")
     own_hash, gone_id, gone_hash, gone_runs = fresh(docs, "own_hash", "gone_id", "gone_hash", "gone_runs")
     names, rows = docs.columns, keyed(docs, own_hash)
-    found = spans(rows.select("doc_id", "text", F.col(own_hash).alias("text_hash")))
-    gone = repeated(found).toDF(gone_id, gone_hash, gone_runs)
+    gone = repeated(rows.select("doc_id", "text", F.col(own_hash).alias("text_hash"))).toDF(gone_id, gone_hash, gone_runs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
