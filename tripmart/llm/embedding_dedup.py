@@ -5,7 +5,8 @@ A coarse codebook and residual codebooks are trained on about ``SAMPLE`` rows, o
 lists grows with the square root of the table, up to ``MOST_LISTS``. A vector lives in the list of its best centroid as eight
 subspace codes and the length of its quantisation error. It is a query in every
 list whose centroid scores within ``MARGIN`` of its best, but for those whose
-farthest row is too far away to reach the threshold. Inside a list,
+farthest row is too far away to reach the threshold, and for lists behind its own:
+two vectors of different lists meet once, in the first of them. Inside a list,
 distances come from per-query tables looked up by code; since the error's
 length is kept, the triangle inequality tells which rows cannot reach the
 threshold, and only the others are scored by the exact cosine in double
@@ -165,9 +166,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         return record(**{c: batch.column(c) for c in names}, list=pa.array(home.astype(np.int32)), codes=pa.array([c.tobytes() for c in codes], pa.binary()), miss=pa.array(miss), score=pa.array(score))
 
     def asks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, home = model.value.probes(flat(batch.column("embedding")), margin, floor.value)
+        x = flat(batch.column("embedding"))
+        own = model.value.homes(x)
+        row, home = model.value.probes(x, margin, floor.value)
+        once = home <= own[row]
+        row, home = row[once], home[once]
         at = pa.array(row)
-        return record(**{c: batch.column(c).take(at) for c in ("label", "cid", "embedding")}, list=pa.array(home.astype(np.int32)))
+        return record(**{c: batch.column(c).take(at) for c in ("label", "cid", "copies", "embedding")}, list=pa.array(home.astype(np.int32)), own=pa.array(home == own[row]))
 
     data = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), homes, f"label {label}, cid long, copies long, embedding {element}, list int, codes binary, miss double, score double"), "inverted-lists")
     # a row at most arccos(lowest score) from its centroid is within reach only of vectors that far and the threshold's angle more
@@ -175,13 +180,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
     for r in data.groupBy("list").agg(F.min("score").alias("least")).collect():  # a number a list
         lowest[r["list"]] = math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, r["least"]))) + math.acos(threshold) + 1e-6))
     floor = spark.sparkContext.broadcast(lowest)
-    queries = cut(arrow_map(classes.select("label", "cid", "embedding"), asks, f"label {label}, cid long, embedding {element}, list int"), "probes")
+    queries = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), asks, f"label {label}, cid long, copies long, embedding {element}, list int, own boolean"), "probes")
     count = lambda t, name: t.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     shape = count(data, "blocks").join(count(queries, "chunks"), ["label", "list"])
     part = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    d = data.join(shape, ["label", "list"]).select("label", "list", part("blocks", 1).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("asks"), "cid", "copies", "embedding", "codes", "miss")
-    q = queries.join(shape, ["label", "list"]).select("label", "list", each("blocks").alias("block"), part("chunks", 2).alias("chunk"), F.lit(1).alias("asks"), "cid", F.lit(0).cast("long").alias("copies"), "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("miss"))
+    d = data.join(shape, ["label", "list"]).select("label", "list", part("blocks", 1).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("asks"), "cid", "copies", F.lit(True).alias("own"), "embedding", "codes", "miss")
+    q = queries.join(shape, ["label", "list"]).select("label", "list", each("blocks").alias("block"), part("chunks", 2).alias("chunk"), F.lit(1).alias("asks"), "cid", "copies", "own", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("miss"))
 
     def search(table: pa.Table) -> pa.RecordBatch | None:
         asks_ = table["asks"].to_numpy()
@@ -201,11 +206,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
             for a in range(0, len(at_q), 1 << 16):
                 i, j = at_q[a : a + (1 << 16)] + part, at_d[a : a + (1 << 16)]
                 linked[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-        found = linked @ rows["copies"].to_numpy()
+        ids = np.concatenate([x_id, y_id])  # those of one list ask each other, so only links between lists count for the rows too
+        other = ~ask["own"].to_numpy(zero_copy_only=False).astype(bool)
+        found = np.concatenate([linked @ rows["copies"].to_numpy(), ask["copies"].to_numpy()[other] @ linked[other]])
         has = np.flatnonzero(found)
         pairs = forest(linked, x_id, y_id)
         none = [None] * len(pairs)
-        return record(cid=pa.array([*x_id[has].tolist(), *none], pa.int64()), n=pa.array([*found[has].tolist(), *none], pa.int64()), u=pa.array([None] * len(has) + [u for u, _ in pairs], pa.int64()), v=pa.array([None] * len(has) + [v for _, v in pairs], pa.int64()))
+        return record(cid=pa.array([*ids[has].tolist(), *none], pa.int64()), n=pa.array([*found[has].tolist(), *none], pa.int64()), u=pa.array([None] * len(has) + [u for u, _ in pairs], pa.int64()), v=pa.array([None] * len(has) + [v for _, v in pairs], pa.int64()))
 
     found = cut(grouped(d.unionByName(q), ["label", "list", "block", "chunk"], ["asks", "cid"], search, "cid long, n long, u long, v long"), "vector-links")
     counts = found.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("n").alias("n"))
