@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
+from . import chat, collocations, decontaminate, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -152,6 +152,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language in all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS f
+  FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k >= 2 AND f >= 30),
+longer AS (
+  SELECT lang, w, k, a, unnest(range(1, k + 1)) AS i, m FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+around AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS outer_f FROM longer WHERE i + m - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN around o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE o.outer_f IS NULL OR 100 * CAST(o.outer_f AS HUGEINT) < 80 * CAST(c.a AS HUGEINT)),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM kept),
+parts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM parts),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -163,5 +196,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL, "op13_collocations": OP13_SQL}
