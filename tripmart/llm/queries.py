@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, embedding_dedup, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
+from . import chat, collocations, decontaminate, embedding_dedup, line_dedup, max_score, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -152,6 +152,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every vector whose id is divisible by 20."""
+    return max_score.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP12_SQL = """
+WITH finite AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+weights AS (SELECT vec_id, list_transform(x, lambda v: floor(64 * v)) AS w FROM finite),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.w, d.w) AS BIGINT) AS score
+  FROM weights q JOIN weights d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language in all documents."""
     return collocations.mine(table(spark, sf_dir, "documents"))
@@ -196,6 +214,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_top_k": op12_top_k,
     "op13_collocations": op13_collocations,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL, "op13_collocations": OP13_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL, "op12_top_k": OP12_SQL, "op13_collocations": OP13_SQL}
