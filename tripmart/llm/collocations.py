@@ -23,7 +23,7 @@ Defined results: null text is empty, null language is ``und``, and so is the
 language of that name; texts without words give nothing; repeated rows count
 each; an empty table gives no rows; other columns are ignored, whatever their
 names. Texts are taken whole, one or more at a time; a task holds some hundred
-bytes a word of the texts of one slice (8 MB, or a longer text alone).
+bytes a word of the texts of one slice (2 MB, or a longer text alone).
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from .text import LOWER, mix, ngrams, slices, word_hashes, words
 
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
-SLICE = 8 << 20
+SLICE = 2 << 20
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SHARD = 1 << 16
 PIECE = 4096
