@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, embedding_dedup, line_dedup, max_score, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
+from . import chat, collocations, decontaminate, embedding_dedup, line_dedup, max_score, minhash, packing, quality, repair, span_dedup, suffix_dedup, url_filter
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -152,6 +152,83 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults that a checksum of their ids chooses; a row that is dropped stays as one that is not ``there``."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(cell("conv_id"), F.lit(":"), cell("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(cell("text"), ".!?", "")).otherwise(cell("text"))
+    role = F.when(kind == 4, "user").otherwise(cell("role"))
+    times = F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind != 0).alias("there"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and repair of all damaged conversations."""
+    return repair.repair(damaged(table(spark, sf_dir, "conversations")), F.col("there"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY k) AS t
+  FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS k))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS crc_key FROM conversations),
+kinds AS (
+  SELECT k.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(crc_key, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM keyed k, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS is_open,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS initial_before
+  FROM placed),
+rows AS (
+  SELECT *, is_blank OR is_again AS must_go, is_open AND NOT (is_blank OR is_again) AS is_cut FROM judged),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again AND NOT is_blank) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+    count(*) FILTER (initial_before IS NOT NULL AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id),
+inserts(state, n, after, lines) AS (VALUES
+  ('', 0, '', CAST([] AS VARCHAR[])), ('', 1, 'u', ['user:']), ('', 2, 'a', ['user:', 'assistant:']), ('s', 0, 's', []), ('s', 1, 'u', ['user:']), ('s', 2, 'a', ['user:', 'assistant:']),
+  ('u', 0, 'u', []), ('u', 1, 'a', ['assistant:']), ('u', 2, 'u', ['assistant:', 'user:']), ('a', 0, 'a', []), ('a', 1, 'u', ['user:']), ('a', 2, 'a', ['user:', 'assistant:'])),
+edits(before, letter, initial, after, cost, name) AS (VALUES
+  ('', 'D', NULL, '', 3, NULL), ('s', 'D', NULL, 's', 3, NULL), ('u', 'D', NULL, 'u', 3, NULL), ('a', 'D', NULL, 'a', 3, NULL),
+  ('', 'K', 's', 's', 0, NULL), ('', 'K', 'u', 'u', 0, NULL), ('s', 'K', 'u', 'u', 0, NULL), ('u', 'K', 'a', 'a', 0, NULL), ('a', 'K', 'u', 'u', 0, NULL),
+  ('', 'R', NULL, 'u', 2, 'user'), ('s', 'R', NULL, 'u', 2, 'user'), ('u', 'R', NULL, 'a', 2, 'assistant'), ('a', 'R', NULL, 'u', 2, 'user')),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM counted
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS place FROM (
+      SELECT w.conv_id, r.i, e.after AS state, w.cost + 2 * g.n + e.cost + CASE WHEN r.is_cut AND e.letter <> 'D' THEN 1 ELSE 0 END AS cost,
+        w.audit || repeat('I', g.n) || e.letter AS audit,
+        list_concat(w.lines, g.lines, CASE WHEN e.letter = 'D' THEN [] ELSE [coalesce(e.name, r.role) || ':' || r.text] END) AS lines
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+      JOIN inserts g ON g.state = w.state
+      JOIN edits e ON e.before = g.after AND (e.initial IS NULL OR e.initial = r.initial) AND (e.letter = 'D' OR NOT r.must_go)) AS ways) AS best
+  WHERE place = 1),
+ended AS (
+  SELECT w.conv_id, w.cost + 2 * g.n AS cost, w.audit || repeat('I', g.n) AS audit, list_concat(w.lines, g.lines) AS lines,
+    row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 2 * g.n, w.audit || repeat('I', g.n)) AS place
+  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN inserts g ON g.state = w.state AND g.after IN ('', 'a'))
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, CAST(coalesce(e.cost, 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id AND e.place = 1
+"""
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best partners of every vector whose id is divisible by 20."""
     return max_score.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -214,7 +291,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_top_k": op12_top_k,
     "op13_collocations": op13_collocations,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL, "op12_top_k": OP12_SQL, "op13_collocations": OP13_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_minhash": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_top_k": OP12_SQL, "op13_collocations": OP13_SQL}
