@@ -6,13 +6,13 @@ run of four words, or what is left of the piece, which is the correction that
 ends there. Counts of shorter phrases are the flow out of their node and the
 ends in it; nothing shorter is counted by itself.
 
-A phrase that occurs ``min_count`` times has only word pairs that do. Pairs and
-words are counted before in buckets of hashes, so that a run stops where a
-bucket stays below: whatever can be a candidate, or a part of one, keeps its
-exact count, and most of the text makes no rows. The bits of the buckets are
-what tasks get sent: one for each 16 bytes of text, at most ``MOST_BITS`` (128
-MB). Beyond some 16 GB of text more rare runs pass, which costs time and
-changes no result.
+A phrase that occurs ``min_count`` times has only word pairs and triples that do.
+Words and pairs, and then the triples of pairs that are left, are counted
+before in buckets of hashes, so that a run stops where a bucket stays below:
+whatever can be a candidate, or a part of one, keeps its exact count, and most
+of the text makes no rows. The bits of the buckets are what tasks get sent: one
+for each 16 bytes of text, at most ``MOST_BITS`` (128 MB), twice. Beyond some 16
+GB of text more rare runs pass, which costs time and changes no result.
 
 Edges of ``min_count`` and more are compacted: where one edge alone enters a
 node and one alone leaves it, both with all its flow, they are one path. A
@@ -29,7 +29,7 @@ bytes a word of the texts of one slice (2 MB, or a longer text alone).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,17 @@ _OUTSIDE = _BREAK.copy()
 _OUTSIDE[list(GAPS)] = True
 
 
+class Bits:
+    """Packed bits, which hashes are looked up in."""
+
+    def __init__(self, n: int):
+        self.n, self.packed = n, np.zeros(n // 8, np.uint8)
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(self.n - 1)
+        return (self.packed[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
 class _Words:
     """The words of a slice of texts: where they lie, hashes that know their language, and which end a piece."""
 
@@ -73,10 +84,13 @@ class _Words:
             out[: len(out) - n + 1] = ngrams(self.hashes, np.array([0, len(out)]), n, short=False)[0]
         return out
 
-    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each word, and of the pair that it starts."""
-        at = lambda h: (h & np.uint64(bits - 1)).astype(np.uint32)
-        return at(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))), at(self.runs(2))
+    def words(self) -> np.ndarray:
+        """Hashes of single words that are unlike those of runs."""
+        return mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))
+
+    def linked(self, flags: Bits) -> np.ndarray:
+        """Which words go on to a next one of the same piece, the pair being frequent enough."""
+        return flags.test(self.runs(2)) & ~self.last
 
     def text(self, at: np.ndarray, size: np.ndarray) -> pa.Array:
         """The lower-cased words of runs, joined by spaces."""
@@ -106,8 +120,8 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[_Words, list[str]]]:
             yield found, langs[a:b]
 
 
-def _bits(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """Packed bits of the buckets whose words and pairs occur ``min_count`` times.
+def _frequent(texts: DataFrame, hashes: Callable[[_Words], list[np.ndarray]], min_count: int, n: int) -> Bits:
+    """Bits of the buckets that ``min_count`` of the hashes fall into.
 
     Tasks send counts of buckets as bytes in shards of 65,536 buckets, which
     are added up as a stream. The bits, not the counts, come to the driver.
@@ -119,21 +133,20 @@ def _bits(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            at, n = np.unique(np.concatenate(held), return_counts=True)
+            at, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            n = np.minimum(n, most).astype(kind)
+            times = np.minimum(times, most).astype(kind)
             shard, edge = np.unique(at // SHARD, return_index=True)
             low = (at % SHARD).astype(np.uint16)
             spans = zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array([low[a:b].tobytes() + n[a:b].tobytes() for a, b in spans], pa.binary())], names=["shard", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array([low[a:b].tobytes() + times[a:b].tobytes() for a, b in spans], pa.binary())], names=["shard", "body"])
 
         for batch in batches:
             for found, _ in _read(batch):
-                word, pair = found.buckets(bits)
-                held += [word, pair[~found.last]]
+                held += [(h & np.uint64(n - 1)).astype(np.uint32) for h in hashes(found)]
                 if sum(map(len, held)) > 1 << 22:
                     yield flush()
-        if held:
+        if sum(map(len, held)):
             yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +161,15 @@ def _bits(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
                     if now is not None:
                         yield done()
                     now, total = shard, np.zeros(SHARD, np.int64)
-                n = len(body) // (2 + np.dtype(kind).itemsize)
-                total[np.frombuffer(body, np.uint16, n)] += np.frombuffer(body, kind, offset=2 * n)
+                size = len(body) // (2 + np.dtype(kind).itemsize)
+                total[np.frombuffer(body, np.uint16, size)] += np.frombuffer(body, kind, offset=2 * size)
         if now is not None:
             yield done()
 
     rows = texts.mapInArrow(count, "shard int, body binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, body binary")
-    out = np.zeros(bits // 8, np.uint8)
+    out = Bits(n)
     for row in rows.toLocalIterator():
-        out[row.shard * SHARD // 8 :][: SHARD // 8] = np.frombuffer(row.body, np.uint8)
+        out.packed[row.shard * SHARD // 8 :][: SHARD // 8] = np.frombuffer(row.body, np.uint8)
     return out
 
 
@@ -174,21 +187,27 @@ def runs(docs: DataFrame, min_count: int = 30, lang: str = "lang", text: str = "
     texts = _plain(docs, lang, text)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size // 16 - 1).bit_length()))
-    passed = docs.sparkSession.sparkContext.broadcast(_bits(texts, min_count, bits))
+    send = docs.sparkSession.sparkContext.broadcast
+    pairs = send(_frequent(texts, lambda w: [w.words(), w.runs(2)[~w.last]], min_count, bits))
+
+    def triples(w: _Words) -> list[np.ndarray]:
+        on = w.linked(pairs.value)
+        on[:-1] &= on[1:]
+        return [w.runs(3)[:-1][on[:-1]]]
+
+    more = send(_frequent(texts, triples, min_count, bits))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = passed.value
-        test = lambda at: (flags[at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1 > 0
         for batch in batches:
             for found, langs in _read(batch):
-                word, pair = map(test, found.buckets(bits))
-                on = np.zeros(len(word) + LONGEST, bool)
-                on[: len(word)] = pair & ~found.last
-                length = word.astype(np.int64)
-                whole = np.ones(len(word), bool)
-                for n in range(LONGEST - 1):
-                    whole &= on[n : n + len(word)]
-                    length[whole] = n + 2
+                size = len(found.hashes)
+                two, three = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+                two[:size] = found.linked(pairs.value)
+                three[:size] = two[:-1] & two[1:] & more.value.test(found.runs(3))
+                length = pairs.value.test(found.words()).astype(np.int64)
+                length[two[:-1]] = 2
+                length[three[:-1]] = 3
+                length[three[:-1] & three[1:]] = 4
                 keys = found.hashes.copy()
                 for n in range(2, LONGEST + 1):
                     keys[length == n] = found.runs(n)[length == n]
