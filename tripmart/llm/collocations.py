@@ -23,7 +23,7 @@ Defined results: null text is empty, null language is ``und``, and so is the
 language of that name; texts without words give nothing; repeated rows count
 each; an empty table gives no rows; other columns are ignored, whatever their
 names. Texts are taken whole, one or more at a time; a task holds some hundred
-bytes a word of the texts of one slice (2 MB, or a longer text alone).
+bytes a word of the texts of one slice (1 MB, or a longer text alone).
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ from .text import LOWER, mix, ngrams, slices, word_hashes, words
 
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
-SLICE = 2 << 20
+SLICE = 1 << 20
+HELD = 1 << 21
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SHARD = 1 << 16
 PIECE = 4096
@@ -115,6 +116,7 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[_Words, list[str]]]:
     known = {lang: int.from_bytes(hashlib.md5(lang.encode()).digest()[:8], "little") for lang in set(langs)}
     seeds = np.array([known[lang] for lang in langs], np.uint64)
     for a, b, buf, offsets in slices(batch.column("text"), SLICE):
+        pa.default_memory_pool().release_unused()
         found = _Words(buf, offsets, seeds[a:b])
         if len(found.starts):
             yield found, langs[a:b]
@@ -144,10 +146,11 @@ def _frequent(texts: DataFrame, hashes: Callable[[_Words], list[np.ndarray]], mi
         for batch in batches:
             for found, _ in _read(batch):
                 held += [(h & np.uint64(n - 1)).astype(np.uint32) for h in hashes(found)]
-                if sum(map(len, held)) > 1 << 22:
+                if sum(map(len, held)) > HELD:
                     yield flush()
         if sum(map(len, held)):
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -216,10 +219,10 @@ def runs(docs: DataFrame, min_count: int = 30, lang: str = "lang", text: str = "
                 at = np.flatnonzero(length)
                 _, first, n = np.unique(mix(keys[at] + length[at].astype(np.uint64)), return_index=True, return_counts=True)
                 at = at[first]
-                for a in range(0, len(at), 20_000):
-                    some = at[a : a + 20_000]
+                for a in range(0, len(at), 5000):
+                    some = at[a : a + 5000]
                     code = pa.DictionaryArray.from_arrays(pa.array(found.row[some].astype(np.int32)), pa.array(langs, pa.string()))
-                    yield pa.RecordBatch.from_arrays([code.cast(pa.string()), found.text(some, length[some]), pa.array(length[some].astype(np.int32)), pa.array(n[a : a + 20_000])], names=["lang", "gram", "size", "f"])
+                    yield pa.RecordBatch.from_arrays([code.cast(pa.string()), found.text(some, length[some]), pa.array(length[some].astype(np.int32)), pa.array(n[a : a + 5000])], names=["lang", "gram", "size", "f"])
 
     return texts.mapInArrow(cut_up, "lang string, gram string, size int, f long").groupBy("lang", "gram", "size").agg(F.sum("f").alias("f"))
 
