@@ -1,4 +1,4 @@
-from types import SimpleNamespace
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_prepare import ROW
 from tripmart.plans.validation import verify_ingestion
-from tripmart.sources import audit, ingest, parquet, raw
+from tripmart.sources import audit, files, ingest, parquet, raw, tables
 
 
 @pytest.fixture
@@ -52,51 +52,56 @@ def test_ingest_once_then_skip(spark, month, tmp_path):
 
 def test_failure_cleans_up_and_is_raised(spark, month, tmp_path, monkeypatch):
     root = str(tmp_path / "lake")
-    monkeypatch.setattr(ingest, "append_raw", lambda t, i, p: raw.append_raw(t.limit(2), i, p))
+    monkeypatch.setattr(ingest, "stage_raw", lambda t, i, p: raw.stage_raw(t.limit(2), i, p))
     with pytest.raises(ValueError, match="footer 3, read 3, loaded 2"):
         ingest.ingest(spark, month, root=root, **RUN)
     row = audit.audit_log(spark, f"{root}/audit").first()
     assert row.status == "failed" and "loaded 2" in row.error_message and row.rows_loaded == 0
-    assert not parquet.exists(spark, f"{root}/raw/ingestion_id={row.ingestion_id}")
+    assert not [n for n in files.names(spark, f"{root}/raw") if n != "_versions"] and not [n for n in files.names(spark, root) if n.startswith("staged")]
     with pytest.raises(RuntimeError):
         audit.complete_ingestion(spark, f"{root}/audit", 99, 1, 1)
     with pytest.raises(ValueError):
         verify_ingestion(None, None, None, "month.parquet", 1, None)
+    monkeypatch.undo()
+    again = ingest.ingest(spark, month, root=root, **RUN)
+    assert (again.status, again.ingestion_id) == ("completed", 2)
+    assert sorted(r.raw_trip_id for r in raw.raw_trips(spark, f"{root}/raw").collect()) == [4, 5, 6]  # the failed run leaves a gap
 
 
-def test_ids_are_claimed_once(spark, month, tmp_path):
-    root = str(tmp_path / "lake")
-    first = ingest.ingest(spark, month, root=root, **RUN)
+def test_ids_are_claimed_once(spark, tmp_path):
+    log = str(tmp_path / "audit")
     run = dict(source_file_name="x", file_size_bytes=1, **RUN)
-    fs, where = parquet._path(spark, f"{root}/audit-ids/{first.ingestion_id + 1}")  # another run, between its claim and its first event
-    stream = fs.create(where, False)
-    stream.write(bytearray(b"3 13\n"))
-    stream.close()
-    mine = audit.start_ingestion(spark, f"{root}/audit", rows=5, **run)
-    assert mine == first.ingestion_id + 2 and audit.trip_ids(spark, f"{root}/audit", mine) == (13, 18)
-    fs.create(parquet._path(spark, f"{root}/audit-ids/{mine + 1}")[1], False).close()
-    with pytest.raises(RuntimeError, match="never got"):
-        audit.trip_ids(spark, f"{root}/audit", mine + 1, patience=0.2)
-
-
-def test_failed_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):
-    place = str(tmp_path / "table")
-    parquet.save_table(spark.range(3), place)
-    real, calls = parquet._rename, []
-
-    def second_fails(fs, old, new):
-        calls.append(1)
-        if len(calls) == 2:
-            raise OSError("no")
-        real(fs, old, new)
-
-    monkeypatch.setattr(parquet, "_rename", second_fails)
-    with pytest.raises(OSError):
-        parquet.save_table(spark.range(9), place)
-    assert spark.read.parquet(place).count() == 3
-    monkeypatch.undo()
-    with pytest.raises(OSError, match="could not rename"):
-        parquet._rename(SimpleNamespace(rename=lambda old, new: False), "a", "b")
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda k: audit.start_ingestion(spark, log, rows=10 + k, **run), range(16)))
+    assert sorted(ids) == list(range(1, 17))
+    ranges = sorted(audit.trip_ids(spark, log, i) for i in ids)
+    assert ranges[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ranges[:-1], ranges[1:])) and ranges[-1][1] == sum(10 + k for k in range(16))
+
+
+def test_compaction_of_the_log(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "audit")
+    run = dict(source_file_name="x", file_size_bytes=1, **RUN)
+    for k in range(6):
+        i = audit.start_ingestion(spark, log, rows=10, **run)
+        if k != 4:
+            audit.complete_ingestion(spark, log, i, 10, 10)
+    audit.record_skipped(spark, log, **run)
+    state = lambda: {r.ingestion_id: (r.status, r.rows_read, r.completed_at is None) for r in audit.audit_log(spark, log).collect()}
+    before = state()
+    assert not audit.compact(spark, log, every=5) and audit.compact(spark, log, every=4)
+    assert state() == before and [n for n in files.names(spark, f"{log}/events")] == ["000000000005-0.json", "000000000006-0.json", "000000000006-1.json", "000000000007-0.json"]
+    read = []
+    real = files.read
+    monkeypatch.setattr(files, "read", lambda s, p: read.append(p) or real(s, p))
+    audit.audit_log(spark, log)
+    assert sum("events" in p for p in read) == 4  # only what is behind the table
+    audit.fail_ingestion(spark, log, 5, "late")
+    assert audit.compact(spark, log, every=1) and files.names(spark, f"{log}/events") == []
+    assert state() == before | {5: ("failed", 0, False)}
+    new = audit.start_ingestion(spark, log, rows=3, **run)
+    assert new == 8 and audit.trip_ids(spark, log, new) == (60, 63)
+    with pytest.raises(audit.Ended):
+        audit.complete_ingestion(spark, log, new, 1, 1) or audit.complete_ingestion(spark, log, new, 1, 1)
 
 
 def test_sample_save_and_ids(spark, tmp_path):
@@ -104,8 +109,8 @@ def test_sample_save_and_ids(spark, tmp_path):
     once, twice = (sorted(r.id for r in parquet.sample_trips(t, 10).collect()) for _ in range(2))
     assert once == twice and len(once) == 10
     for n in (1, 2):
-        parquet.save_table(t.limit(n), str(tmp_path / "table"))
-        assert spark.read.parquet(str(tmp_path / "table")).count() == n
+        tables.save_table(t.limit(n), str(tmp_path / "table"))
+        assert tables.read_table(spark, str(tmp_path / "table")).count() == n
     t.repartition(7).write.parquet(str(tmp_path / "ids"))
     ids = raw.assign_trip_ids(spark.read.parquet(str(tmp_path / "ids")), 50)
     assert sorted(r.raw_trip_id for r in ids.collect()) == list(range(51, 151))

@@ -1,4 +1,4 @@
-"""Reading trip files, their footers, samples, and writing tables."""
+"""Reading trip files, their footers and samples, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
 
-def _path(spark: SparkSession, path: str):
-    """Hadoop's file system and path object of a path, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+_path = files.locate
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -114,32 +112,6 @@ def _rename(fs, old, new) -> None:
         raise OSError(f"could not rename {old} to {new}")
 
 
-def save_table(t: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table beside its place and swap it in.
-
-    Readers never see half of it; one that opens it between the two renames
-    doesn't find it. If the second rename fails, the old table is put back. It
-    is deleted last.
-    """
-    spark = t.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    writer = t.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    fs, new = _path(spark, staged)
-    _, place = _path(spark, path)
-    if fs.exists(place):
-        _, old = _path(spark, f"{staged}.old")
-        _rename(fs, place, old)
-        try:
-            _rename(fs, new, place)
-        except Exception:
-            _rename(fs, old, place)
-            raise
-        fs.delete(old, True)
-    else:
-        _rename(fs, new, place)
-
-
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Logical views: evaluated anew by each query."""
     for name, t in tables.items():

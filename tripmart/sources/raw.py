@@ -1,11 +1,18 @@
-"""The raw trip table, partitioned by ingestion."""
+"""The raw trip table, partitioned by ingestion, in versions.
+
+A load writes its rows beside the table and publishes them as a partition, or
+not at all; loads at the same time don't meet. The partition also tells which file it
+came from, so a file is never in two of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .parquet import _path, exists
+from . import files, tables
 
 
 def assign_trip_ids(t: DataFrame, base: int = 0) -> DataFrame:
@@ -26,26 +33,76 @@ def assign_trip_ids(t: DataFrame, base: int = 0) -> DataFrame:
     return ids.select((F.col("__offset") + F.col("__row")).alias("raw_trip_id"), *t.columns)
 
 
+class AlreadyLoaded(RuntimeError):
+    """Another ingestion has published the same file."""
+
+
+class Fenced(RuntimeError):
+    """The ingestion was taken for dead and may publish nothing any more."""
+
+
+def stage_raw(t: DataFrame, ingestion_id: int, path: str) -> tables.Written:
+    """Write prepared trips beside the table, sorted by trip id inside files."""
+    tagged = t.withColumns({"ingestion_id": F.lit(ingestion_id).cast("long"), "loaded_at": F.current_timestamp().cast("timestamp_ntz")})
+    return tables.write(tagged, path, ["ingestion_id"], ["raw_trip_id"], name=f"{ingestion_id}-")
+
+
+def publish_raw(spark: SparkSession, path: str, written: tables.Written, ingestion_id: int, identity: list | None = None) -> None:
+    """Make staged rows an ingestion of the table, unless its file is there or the ingestion was fenced off."""
+
+    def check(now: tables.Version | None) -> None:
+        if now and ingestion_id in now.notes.get("fenced", []):
+            raise Fenced(f"ingestion {ingestion_id} was taken for dead")
+        if now and identity is not None and any(p.get("file") == identity for p in now.parts.values()):
+            raise AlreadyLoaded(f"{identity} is loaded")
+
+    tables.add(spark, path, written, {"file": identity, "rows": written.rows}, check)
+
+
 def append_raw(t: DataFrame, ingestion_id: int, path: str) -> int:
     """Append prepared trips as one ingestion; the number of rows written."""
-    seen = Observation()
-    tagged = t.withColumns({"ingestion_id": F.lit(ingestion_id).cast("long"), "loaded_at": F.current_timestamp().cast("timestamp_ntz")})
-    tagged.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("ingestion_id").parquet(path)
-    return seen.get["n"]
+    written = stage_raw(t, ingestion_id, path)
+    publish_raw(t.sparkSession, path, written, ingestion_id)
+    return written.rows
+
+
+def fence(spark: SparkSession, path: str, ingestion_id: int) -> int | None:
+    """The rows that an ingestion has published; if it hasn't, it never will, and what it has staged goes."""
+    found: list[int] = []
+
+    def change(now: tables.Version | None) -> tables.Version:
+        now = now or tables.Version(0, "", [], {})
+        if (part := now.parts.get(_part(ingestion_id))) is not None:
+            found.append(part["rows"])
+            raise AlreadyLoaded
+        return replace(now, notes=now.notes | {"fenced": [*now.notes.get("fenced", []), ingestion_id]})
+
+    try:
+        tables.commit(spark, path, change)
+    except AlreadyLoaded:
+        return found[0]
+    for name in files.names(spark, path):
+        if name.startswith(f"__version={ingestion_id}-"):
+            files.remove(spark, f"{path}/{name}")
+    return None
+
+
+def _part(ingestion_id: int) -> str:
+    return f"ingestion_id={ingestion_id}"
 
 
 def raw_trips(spark: SparkSession, path: str, ingestion_id: int | None = None) -> DataFrame:
     """The raw table; with an id only that partition is read."""
-    t = spark.read.parquet(path).withColumn("ingestion_id", F.col("ingestion_id").cast("long"))
+    t = tables.read_table(spark, path)
     return t if ingestion_id is None else t.where(F.col("ingestion_id") == ingestion_id)
 
 
 def delete_ingestion(spark: SparkSession, path: str, ingestion_id: int) -> int:
-    """Drop one ingestion's rows; how many there were."""
-    part = f"{path.rstrip('/')}/ingestion_id={ingestion_id}"
-    if not exists(spark, part):
+    """Take one ingestion's rows out of the table; how many there were."""
+    now = tables.current(spark, path)
+    part = now.parts.get(_part(ingestion_id)) if now else None
+    if part is None:
         return 0
-    n = spark.read.parquet(part).count()
-    fs, where = _path(spark, part)
-    fs.delete(where, True)
-    return n
+    tables.drop(spark, path, [_part(ingestion_id)])
+    tables.vacuum(spark, path)
+    return part["rows"]
