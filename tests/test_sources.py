@@ -33,6 +33,23 @@ def test_manifest_and_errors(spark, month, tmp_path):
         parquet.check_file(spark, str(tmp_path / "x.csv"))
 
 
+def test_row_groups(spark, tmp_path):
+    path = str(tmp_path / "groups.parquet")
+    pq.write_table(pa.table({"id": pa.array(range(7), pa.int32()), "odd name": [f"t{k}" for k in range(7)]}), path, row_group_size=3)
+    assert [(r.row_group, r.rows, r.columns) for r in parquet.row_groups(spark, path).orderBy("row_group").collect()] == [(0, 3, 2), (1, 3, 2), (2, 1, 2)]
+    one = parquet.read_row_groups(spark, path, [1])
+    assert one.dtypes == [("row_group", "int"), ("id", "int"), ("odd name", "string")]
+    assert sorted(map(tuple, one.collect())) == [(1, 3, "t3"), (1, 4, "t4"), (1, 5, "t5")]
+    every = parquet.read_row_groups(spark, path, columns=["odd name"])
+    assert sorted(map(tuple, every.collect())) == [(k // 3, f"t{k}") for k in range(7)] and every.rdd.getNumPartitions() == 3
+    assert parquet.read_row_groups(spark, path, []).count() == 0
+    for k in (3, -1):
+        with pytest.raises(IndexError, match="outside the valid range"):
+            parquet.read_row_groups(spark, path, [k])
+    with pytest.raises(FileNotFoundError):
+        parquet.read_row_groups(spark, str(tmp_path / "none.parquet"))
+
+
 def test_ingest_once_then_skip(spark, month, tmp_path):
     root = str(tmp_path / "lake")
     first = ingest.ingest(spark, month, root=root, **RUN)

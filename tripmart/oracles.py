@@ -371,6 +371,8 @@ SELECTS = {
     "v41_monetary_differences": "SELECT s.ingestion_id, " + ", ".join(f"CAST(f.{c} - s.{c} AS DECIMAL(18,2)) AS {c}_difference" for c in MONEY_COLUMNS) + " FROM " + " JOIN ".join(f"(SELECT ingestion_id, {', '.join(f'sum({c}) AS {c}' for c in MONEY_COLUMNS)} FROM {t} GROUP BY 1) {a}" for t, a in (("staging", "s"), ("fact", "f"))) + " ON s.ingestion_id = f.ingestion_id",
     "v43_constraints": _union([*(f"SELECT '{k}' AS check_name, count(*) FILTER (NOT ({c})) AS violations FROM {t}" for t, rules in _CHECK_RULES.items() for k, c in rules.items()), *(f"SELECT '{d}_unique' AS check_name, count(*) AS violations FROM (SELECT 1 FROM {d} GROUP BY {k} HAVING count(*) > 1)" for d, k in _UNIQUE.items())]),
 }
+#: Footers are no view: the SQL names the file that the tables are checked on.
+EVENTS_FILE = "/root/testdata/sf0.01/events.parquet"
 _RAW_TYPES = {"raw_trip_id": "n", "ingestion_id": "n", **{c: "t" if c in TIMESTAMP_COLUMNS else "f" if c in DOUBLE_COLUMNS else "n" for c in RAW_COLUMNS}, "loaded_at": "t"}
 _PLAIN = {"n": "{c}::VARCHAR", "t": "epoch_us({c})::VARCHAR", "f": "CAST(round({c} * 10000) AS BIGINT)::VARCHAR"}
 _DIGEST = "md5('42' || " + " || ".join("'|' || coalesce(" + _PLAIN[kind].format(c=c) + ", '')" for c, kind in _RAW_TYPES.items()) + ")"
@@ -381,6 +383,15 @@ _CHECKED = ["ingestion status is completed", "source file name matches", "source
 SELECTS |= {
     "s08_sample_trips": f"SELECT * FROM raw ORDER BY {_DIGEST}, raw_trip_id LIMIT 5000",
     "s03_manifest_rows": "SELECT (SELECT count(*) FROM events) AS footer_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events)) AS columns, (SELECT count(*) FROM events) AS scanned_rows",
+    "s03_parquet_manifest": f"SELECT file_name AS path, num_rows AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events)) AS columns, num_row_groups AS row_groups, file_size_bytes FROM parquet_file_metadata('{EVENTS_FILE}')",
+    "s03_row_groups": f"""
+SELECT g.*, g.rows AS rows_read, (SELECT max(event_id) FROM events) AS last_event_id
+FROM (SELECT DISTINCT file_name AS path, CAST(row_group_id AS INT) AS row_group, row_group_num_rows AS rows, row_group_bytes AS bytes, CAST(row_group_num_columns AS INT) AS columns FROM parquet_metadata('{EVENTS_FILE}')) g""",
+    "v42_failed_checks": f"SELECT unnest([{', '.join(map(repr, _CHECKED))}]) AS check_name, unnest([{', '.join(repr('FAIL' if 'stored' in c else 'PASS') for c in _CHECKED)}]) AS result",
+    "d05_failed_reconciliation": f"""
+SELECT CAST(5 AS BIGINT) AS ingestion_id, 'failed' AS status, n AS rows_read, CAST(0 AS BIGINT) AS rows_loaded,
+  'Row counts differ: footer ' || {_MONTH_ROWS} || ', read ' || n || ', loaded ' || n AS error_message, {_MONTH_ROWS} + {_SAMPLE_ROWS} AS raw_rows, CAST(2 AS BIGINT) AS ingestions
+FROM (SELECT count(*) AS n FROM raw WHERE ingestion_id = 7 AND dropoff_datetime IS NOT NULL)""",
     "d11_audit_states": f"""
 SELECT CAST(i AS BIGINT) AS ingestion_id, f AS source_file_name, {_PERIOD}, s AS status, CAST(n AS BIGINT) AS rows_read, CAST(n AS BIGINT) AS rows_loaded, CAST(0 AS BIGINT) AS rows_rejected, TRUE AS has_ended, s = 'failed' AS has_error
 FROM (SELECT 1 AS i, 'month.parquet' AS f, 'completed' AS s, {_MONTH_ROWS} AS n UNION ALL SELECT 2, 'month.parquet', 'skipped', 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.casts import label_missing
 from ..functions.trips import duration_minutes
 from ..operators.flags import is_speeding
-from ..operators.quantiles import exact_quantiles
+from ..operators.distinct import repeated_rows
+from ..operators.quantiles import column_statistics
 from ..schema import RAW_COLUMNS
 
 PERIOD = ("2024-01-01", "2024-02-01")
@@ -185,7 +186,7 @@ def with_explored_speed(trips: DataFrame) -> DataFrame:
 
 def duplicate_rows(trips: DataFrame, columns=tuple(RAW_COLUMNS)) -> DataFrame:
     """Rows that repeat an earlier one in all columns; nulls are equal."""
-    return trips.groupBy(*columns).agg(_count().alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return repeated_rows(trips, list(columns))
 
 
 def quality_summary(trips: DataFrame, period: tuple[str, str] = PERIOD, limit: float = 80.0) -> DataFrame:
@@ -208,14 +209,8 @@ def quality_summary(trips: DataFrame, period: tuple[str, str] = PERIOD, limit: f
 
 
 def describe(trips: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles, a row per column."""
-    rows = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        plain = trips.agg(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        both = plain.crossJoin(exact_quantiles(trips, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))  # a row each
-        rows.append(both.select("column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
-    return reduce(DataFrame.unionByName, rows)
+    """Count, mean, deviation, extremes and exact quartiles, a row per column, from one pass over the trips."""
+    return column_statistics(trips, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def negative_transactions(trips: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.casts import code_text
 from ..functions.trips import date_key, month_start
 from ..operators.compare import check_grain, diff_rows, expectations, reconcile_totals, symmetric_difference
+from ..operators.distinct import distinct_ids
 from ..operators.measures import COUNTS
+from ..operators.reconcile import mismatches, missing_keys
 from ..schema import FLAGS, MISSING, MONEY_COLUMNS, PAYMENTS, RATECODES, STATUSES, STORE_AND_FWD, VENDORS
 from . import analytics, marts
 
@@ -40,7 +42,7 @@ def raw_and_staging(raw: DataFrame, staging: DataFrame) -> DataFrame:
 
 
 def distinct_trips(staging: DataFrame) -> DataFrame:
-    return staging.groupBy("ingestion_id").agg(_n("total_rows"), F.count_distinct("raw_trip_id").alias("distinct_trip_ids"))
+    return distinct_ids(staging, ["ingestion_id"], "raw_trip_id", "distinct_trip_ids")
 
 
 def flag_counts(staging: DataFrame) -> DataFrame:
@@ -190,8 +192,8 @@ def object_counts(dims: dict[str, DataFrame], fact: DataFrame) -> DataFrame:
 
 
 def fact_grain(fact: DataFrame) -> DataFrame:
-    d = F.count_distinct("raw_trip_id")
-    return fact.agg(_n("total_rows"), d.alias("distinct_trip_ids"), (F.count(F.lit(1)) - d).alias("duplicate_rows"))
+    counts = distinct_ids(fact, [], "raw_trip_id", "distinct_trip_ids")
+    return counts.withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_trip_ids"))
 
 
 def fact_coverage(staging: DataFrame, fact: DataFrame) -> DataFrame:
@@ -200,8 +202,7 @@ def fact_coverage(staging: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def fact_ids(staging: DataFrame, fact: DataFrame) -> DataFrame:
-    s, f = staging.select(F.col("raw_trip_id").alias("s_id")), fact.select(F.col("raw_trip_id").alias("f_id"))
-    return s.join(f, F.col("s_id") == F.col("f_id"), "full").agg(F.count_if(F.col("f_id").isNull()).alias("missing_from_fact"), F.count_if(F.col("s_id").isNull()).alias("additional_in_fact"))
+    return missing_keys(staging, fact, "raw_trip_id", "missing_from_fact", "additional_in_fact")
 
 
 FOREIGN_KEYS = {
@@ -281,11 +282,8 @@ def key_derivation(staging: DataFrame, fact: DataFrame, dims: dict[str, DataFram
 
 
 def preserved_columns(staging: DataFrame, fact: DataFrame) -> DataFrame:
-    """Mismatches of forty columns between staging and fact, from one join, in long form."""
-    names = [*OPERATIONAL, *MONEY_COLUMNS, *FLAGS]
-    both = staging.select("raw_trip_id", *names).alias("s").join(fact.select("raw_trip_id", *names).alias("f"), "raw_trip_id")
-    counts = both.agg(*[F.count_if(~F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))).alias(c) for c in names])
-    return counts.unpivot([], names, "column_name", "mismatch_count")
+    """Mismatches of forty columns between staging and fact, in long form; only buckets of trips that differ are joined."""
+    return mismatches(staging, fact, "raw_trip_id", [*OPERATIONAL, *MONEY_COLUMNS, *FLAGS])
 
 
 def monetary_differences(staging: DataFrame, fact: DataFrame) -> DataFrame:

@@ -62,6 +62,68 @@ def parquet_manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(footers, "path string, rows long, columns long, row_groups long, file_size_bytes long")
 
 
+GROUP_SCHEMA = "path string, row_group int, rows long, bytes long, columns int"
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """path, row_group, rows, bytes (uncompressed) and columns of each row group, from footers read on the executors."""
+    files_ = spark.read.format("binaryFile").load(path).select("path")
+
+    def footers(batches):
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            out = []
+            for uri in batch.column("path").to_pylist():
+                store, where = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(where) as source:
+                    meta = pq.ParquetFile(source).metadata
+                groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+                out += [(uri, k, g.num_rows, g.total_byte_size, g.num_columns) for k, g in enumerate(groups)]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["path", "row_group", "rows", "bytes", "columns"])
+
+    return files_.mapInArrow(footers, GROUP_SCHEMA)
+
+
+def read_row_groups(spark: SparkSession, path: str, indexes: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The rows of some row groups of a file, or of all, with the number of their group as ``row_group``.
+
+    Each group is one task's, which streams it. An index that the file doesn't have is an IndexError.
+    """
+    check_file(spark, path)
+    found = row_groups(spark, path).orderBy("row_group").collect()  # a row a group
+    wanted = range(len(found)) if indexes is None else indexes
+    for k in wanted:
+        if not 0 <= k < len(found):
+            raise IndexError(f"Row group index is outside the valid range. Received {k}; valid range: 0 to {len(found) - 1}.")
+    t = spark.read.parquet(path)
+    schema = (t.select(*[f"`{c}`" for c in columns]) if columns else t).schema
+    names = schema.fieldNames()
+    if not len(wanted):
+        return spark.createDataFrame([], f"row_group int, {_ddl(schema)}")
+    places = spark.createDataFrame([(found[k]["path"], k) for k in wanted], "path string, row_group int").repartition(len(wanted), "row_group")
+
+    def read(batches):
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            for uri, k in zip(batch.column("path").to_pylist(), batch.column("row_group").to_pylist(), strict=True):
+                store, where = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(where) as source:
+                    for rows in pq.ParquetFile(source).iter_batches(row_groups=[k], columns=names):
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * rows.num_rows, pa.int32()), *[rows.column(c) for c in names]], names=["row_group", *names])
+
+    return places.mapInArrow(read, f"row_group int, {_ddl(schema)}")
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _plain(name: str, kind: str) -> Column:
     """A value as text that any engine writes alike: numbers in ten-thousandths, times in microseconds, null as nothing."""
     c = F.col(name)
