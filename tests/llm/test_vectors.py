@@ -46,6 +46,44 @@ def test_nothing_to_compare(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(one).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
 
 
+def test_lengths_and_repeated_ids(spark):
+    """Equal vectors of any length are linked; different vectors of one id are different vectors; components don't run into one another."""
+    rng = np.random.default_rng(9)
+    rows, want = [], []
+
+    def add(i, v, label, links, component):
+        rows.append((i, [float(x) for x in v], label))
+        want.append((i, links, component))
+
+    for k in range(5):
+        add(10 + k, [1.0 + k, 2.0, -5.0 * k * k], 0, None, None)
+    add(20, [1.0, 1.0], 0, 1, 20)
+    add(21, [2.0, 2.0], 0, 1, 20)
+    add(22, [2.0, 2.0], 1, 0, 22)
+    add(23, [1.0, 1.0, 0.0], 0, None, None)  # its zero is a component: no link to those of two
+    add(30, [1.0], 0, 1, 30)
+    add(31, [7.0], 0, 1, 30)
+    add(32, [-1.0], 0, 0, 32)
+    long = rng.normal(size=40)
+    add(40, long, 2, 2, 40)
+    add(41, long + rng.normal(size=40) * 0.01, 2, 2, 40)
+    add(42, 3 * long, 2, 2, 40)
+    add(43, long[:33], 2, 0, 43)
+    a, b = np.eye(6)[0], np.eye(6)[1]
+    add(1, a, 3, 1, 1)  # one id, two vectors, each with a partner of its own
+    add(1, b, 3, 1, 1)
+    add(50, 2 * a, 3, 1, 1)
+    add(51, 2 * b, 3, 1, 1)
+    add(60, np.eye(6)[3], 3, 1, 60)
+    add(61, np.eye(6)[3], 3, 1, 60)
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(t).collect())
+    asked = {i for i, n, _ in want if n is not None}
+    assert [g for g in got if g[0] in asked] == sorted(w for w in want if w[1] is not None)
+    few = brute([r for r in rows if r[0] in (10, 11, 12, 13, 14, 23)], 0.93)
+    assert {g[0]: g[1:] for g in got if g[0] in few} == few
+
+
 def test_two_levels_of_lists():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 8))

@@ -8,8 +8,8 @@ front, which ``unescape`` takes off again. The loss mask is the prefix sum of
 +1 at the first id of an assistant's text and -1 behind its last.
 
 Defined results: null text or role is empty; rows of one conversation are
-ordered by turn (null first), then role, then text, so ties and repeated rows
-all stay, in that order; null conv_id is a conversation of its own; an empty
+ordered by turn (null first), then role, then a hash of their ids, so ties and
+repeated rows all stay, equal ones side by side, in the same order on any cluster; null conv_id is a conversation of its own; an empty
 table gives no rows; extra columns are ignored. Turns are encoded and decoded
 wherever they lie; only their bytes are sorted by conversation and pass one at a
 time through running hashes, so its length is not bounded by memory.

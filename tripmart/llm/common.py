@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,15 +78,38 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one record batch."""
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` with further columns, written as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def _plain(names: list[str]) -> list[str]:
+    """The names, but for those that Spark only reads in quotes, which are numbered."""
+    mark = "odd_"
+    while any(n.lower().startswith(mark) for n in names):
+        mark += "_"
+    return [n if re.fullmatch(r"\w+", n) else f"{mark}{k}" for k, n in enumerate(names)]
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` for a function of one record batch, whatever the columns are called."""
+    names = df.columns
+    plain = _plain(names)
+    odd_in = plain != names
+    made = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out_names = made.fieldNames()
+    out_plain = _plain(out_names)
+    odd_out = out_plain != out_names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            if (out := fn(batch)) is not None:
-                yield out
+            if (out := fn(batch.rename_columns(names) if odd_in else batch)) is not None:
+                yield out.rename_columns(out_plain) if odd_out else out
 
-    return df.mapInArrow(run, schema)
+    if not odd_in and not odd_out:
+        return df.mapInArrow(run, schema)
+    fields = [StructField(n, f.dataType, f.nullable) for n, f in zip(out_plain, made.fields, strict=True)]
+    return df.toDF(*plain).mapInArrow(run, StructType(fields)).toDF(*out_names)
 
 
 def record(**columns) -> pa.RecordBatch:

@@ -15,17 +15,21 @@ of all rows is many tasks; tasks return counts and a spanning forest of links,
 never pairs.
 
 Equal vectors of one label are one class, searched once and counted with its
-number of vectors.
+number of vectors. Vectors of different lengths are never compared; lengths of
+one power of two share a model, the shorter ones filled up with zeros.
 
 Defined results: vectors that are null or zero, hold null or non-finite
-components, have a null label or vec_id, or another length than most, link with
-nothing; rows of one vec_id are one vector; an empty table gives an empty
-result; extra columns are ignored.
+components, or have a null label or vec_id, link with nothing; rows of one vec_id
+with the same label and vector are one vector, with others they are different
+vectors, each with its own links, and a component is named by the smallest vec_id
+in it; an empty table gives an empty result; extra columns are ignored. Vectors are
+held by the thousand in a task, whatever their length.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,9 +117,9 @@ class Quantizer:
         return out
 
 
-def _usable(vectors: DataFrame, dim: int) -> DataFrame:
+def _usable(vectors: DataFrame) -> DataFrame:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == dim)).where(fine)
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(fine)
 
 
 def forest(linked: np.ndarray, q: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
@@ -136,22 +140,41 @@ def forest(linked: np.ndarray, q: np.ndarray, d: np.ndarray) -> list[tuple[int,
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MARGIN, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    sizes = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, total = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
-    usable = _usable(vectors, dim)
-    classes = cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count_distinct("vec_id").alias("copies")), "vector-classes")
+    usable = _usable(vectors)
+    grown = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count_distinct("vec_id").alias("copies"))
+    span = F.ceil(F.log2(F.size("embedding"))).cast("int")  # lengths of one power of two are searched together
+    classes = cut(grown.select(F.monotonically_increasing_id().alias("cid"), "label", "embedding", F.size("embedding").alias("size"), span.alias("span"), "least_id", "copies"), "vector-classes")
+    found = [_links(classes.where(F.col("span") == r["span"]), r["dim"], r["n"], threshold, margin, sample, block) for r in classes.groupBy("span").agg(F.max("size").alias("dim"), F.count(F.lit(1)).alias("n")).orderBy("span").collect()]  # a row a power of two
+    if not found:
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    links = reduce(DataFrame.unionByName, found)
+    counts = links.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("n").alias("n"))
+    placed = cut(components(links.where("u IS NOT NULL").select("u", "v")), "vector-components")
+    named = classes.join(counts, "cid", "left").join(placed, F.col("cid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least, "component").select(F.col("label").alias("__label"), F.col("embedding").alias("__embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.col("component_id").alias("__component"))
+    out = vectors.join(named, (F.col("label") == F.col("__label")) & (F.col("embedding") == F.col("__embedding")), "left")
+    component = F.coalesce("__component", "vec_id")
+    return out.select("vec_id", F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _links(classes: DataFrame, dim: int, total: int, threshold: float, margin: float, sample: int, block: int) -> DataFrame:
+    """What each class is linked to (cid, n), and links that connect them (u, v); vectors shorter than ``dim`` end in zeros.
+
+    Vectors of different lengths are in different lists, as those of different labels are.
+    """
+    spark = classes.sparkSession
+    kind = dict(classes.dtypes)["embedding"]
+    padded = F.when(F.col("size") < dim, F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.col("size")).cast(kind))).otherwise(F.col("embedding"))
+    classes = classes.select("cid", "label", "size", "copies", padded.alias("embedding"))
     lists = int(min(MOST_LISTS, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(total) / 3))))))
     sample = max(sample, 16 * lists)
     picked = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).select("embedding").limit(2 * sample).toPandas()["embedding"]
     if not len(picked):
         picked = classes.select("embedding").limit(1).toPandas()["embedding"]
-    if not len(picked):
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     model = spark.sparkContext.broadcast(Quantizer(unit(np.concatenate(picked.tolist()), dim), lists))
-    label = dict(vectors.dtypes)["label"]
-    element = dict(vectors.dtypes)["embedding"]
+    label, element = dict(classes.dtypes)["label"], kind
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def flat(column: pa.Array) -> np.ndarray:
@@ -162,7 +185,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         home = own.homes(x)
         codes, miss = own.encode(x, home)
         score = np.einsum("ij,ij->i", x, own.coarse[home])
-        names = ("label", "cid", "copies", "embedding")
+        names = ("label", "size", "cid", "copies", "embedding")
         return record(**{c: batch.column(c) for c in names}, list=pa.array(home.astype(np.int32)), codes=pa.array([c.tobytes() for c in codes], pa.binary()), miss=pa.array(miss), score=pa.array(score))
 
     def asks(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,21 +195,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         once = home <= own[row]
         row, home = row[once], home[once]
         at = pa.array(row)
-        return record(**{c: batch.column(c).take(at) for c in ("label", "cid", "copies", "embedding")}, list=pa.array(home.astype(np.int32)), own=pa.array(home == own[row]))
+        return record(**{c: batch.column(c).take(at) for c in ("label", "size", "cid", "copies", "embedding")}, list=pa.array(home.astype(np.int32)), own=pa.array(home == own[row]))
 
-    data = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), homes, f"label {label}, cid long, copies long, embedding {element}, list int, codes binary, miss double, score double"), "inverted-lists")
+    data = cut(arrow_map(classes.select("label", "size", "cid", "copies", "embedding"), homes, f"label {label}, size int, cid long, copies long, embedding {element}, list int, codes binary, miss double, score double"), "inverted-lists")
     # a row at most arccos(lowest score) from its centroid is within reach only of vectors that far and the threshold's angle more
     lowest = np.full(len(model.value.coarse), 2.0)
     for r in data.groupBy("list").agg(F.min("score").alias("least")).collect():  # a number a list
         lowest[r["list"]] = math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, r["least"]))) + math.acos(threshold) + 1e-6))
     floor = spark.sparkContext.broadcast(lowest)
-    queries = cut(arrow_map(classes.select("label", "cid", "copies", "embedding"), asks, f"label {label}, cid long, copies long, embedding {element}, list int, own boolean"), "probes")
-    count = lambda t, name: t.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    shape = count(data, "blocks").join(count(queries, "chunks"), ["label", "list"])
+    queries = cut(arrow_map(classes.select("label", "size", "cid", "copies", "embedding"), asks, f"label {label}, size int, cid long, copies long, embedding {element}, list int, own boolean"), "probes")
+    count = lambda t, name: t.groupBy("label", "size", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    shape = count(data, "blocks").join(count(queries, "chunks"), ["label", "size", "list"])
     part = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    d = data.join(shape, ["label", "list"]).select("label", "list", part("blocks", 1).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("asks"), "cid", "copies", F.lit(True).alias("own"), "embedding", "codes", "miss")
-    q = queries.join(shape, ["label", "list"]).select("label", "list", each("blocks").alias("block"), part("chunks", 2).alias("chunk"), F.lit(1).alias("asks"), "cid", "copies", "own", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("miss"))
+    d = data.join(shape, ["label", "size", "list"]).select("label", "size", "list", part("blocks", 1).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("asks"), "cid", "copies", F.lit(True).alias("own"), "embedding", "codes", "miss")
+    q = queries.join(shape, ["label", "size", "list"]).select("label", "size", "list", each("blocks").alias("block"), part("chunks", 2).alias("chunk"), F.lit(1).alias("asks"), "cid", "copies", "own", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("miss"))
 
     def search(table: pa.Table) -> pa.RecordBatch | None:
         asks_ = table["asks"].to_numpy()
@@ -214,12 +237,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float = MA
         none = [None] * len(pairs)
         return record(cid=pa.array([*ids[has].tolist(), *none], pa.int64()), n=pa.array([*found[has].tolist(), *none], pa.int64()), u=pa.array([None] * len(has) + [u for u, _ in pairs], pa.int64()), v=pa.array([None] * len(has) + [v for _, v in pairs], pa.int64()))
 
-    found = cut(grouped(d.unionByName(q), ["label", "list", "block", "chunk"], ["asks", "cid"], search, "cid long, n long, u long, v long"), "vector-links")
-    counts = found.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("n").alias("n"))
-    placed = components(found.where("u IS NOT NULL").select("u", "v"))
-    named = classes.join(counts, "cid", "left").join(placed, F.col("cid") == F.col("id"), "left").select(
-        F.col("label").alias("__label"), F.col("embedding").alias("__embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.coalesce("component", "cid").alias("__component")
-    )
-    out = vectors.join(named, (F.col("label") == F.col("__label")) & (F.col("embedding") == F.col("__embedding")), "left")
-    component = F.coalesce("__component", "vec_id")
-    return out.select("vec_id", F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return cut(grouped(d.unionByName(q), ["label", "size", "list", "block", "chunk"], ["asks", "cid"], search, "cid long, n long, u long, v long"), "vector-links")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh
+from .common import arrow_map, cut, fresh, widened
 from .text import SPACES, mix
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, TASK_PROBES = 40, 5, 1 << 16, 1 << 20
@@ -243,5 +243,4 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (_row_hash() == F.col(own_hash))
     joined = docs.join(per_doc, same, "left").drop(own_id, own_hash)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
-    return arrow_map(joined, run, schema)
+    return arrow_map(joined, run, widened(docs, "n_lines long, n_dropped long"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh
+from .common import arrow_map, cut, fresh, widened
 from .text import mix, powers, slices, word_hashes, words
 
 RUN, MIN_WORDS, LONGEST, EVERY = 3, 8, 16, 8
@@ -206,5 +206,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash))
     joined = rows.join(gone, same, "left").drop(gone_id, gone_hash, own_hash)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_sentences long, n_removed long"
-    return arrow_map(joined, run, schema)
+    return arrow_map(joined, run, widened(docs, "n_sentences long, n_removed long"))

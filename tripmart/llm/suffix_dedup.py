@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh
+from .common import arrow_map, cut, fresh, widened
 from .text import _CODES, mix, powers, slices
 
 LENGTH, SEEDS, LARGE, BLOCK_BYTES = 400, (128, 320, 400), 4096, 1 << 20
@@ -312,5 +312,4 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...
         return pa.RecordBatch.from_arrays([*own, long(size), long(removed), long(spans), pa.array(digests, pa.string())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left").drop(own_id, own_hash)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return arrow_map(joined, run, schema)
+    return arrow_map(joined, run, widened(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
