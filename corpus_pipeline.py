@@ -33,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if "n_chars" in docs.columns:
         text = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", text.cast(dict(docs.dtypes)["n_chars"]))
-    return out.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    return out.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in aside.items()}).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
