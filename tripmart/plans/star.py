@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,19 +83,26 @@ def codes(staging: DataFrame) -> DataFrame:
     return rows.select("ingestion_id", *CODES, F.explode(F.arrays_zip(*times)).alias("t")).select("ingestion_id", *CODES, *[F.col(f"t.{c}") for c in times])
 
 
-#: Dimensions of at most so many rows are sent to the trips whatever Spark estimates.
+#: Dimensions of at most so many rows are held by the driver and sent to the trips whatever Spark estimates.
 SMALL = 100_000
 
 
-def sent_if_small(dims: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]:
-    """Code dimensions marked for broadcast where the written ``codes``, of which each has no more rows, are few.
+def held_if_small(dims: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]:
+    """Dimensions evaluated once, side by side, and marked for broadcast, where the written ``codes``, of which each code dimension has no more rows, are few.
 
-    A sort-merge join would hash all trips on a handful of codes.
+    A sort-merge join would hash all trips on a handful of codes. Days and runs are held
+    only if they are as few.
     """
     if codes.count() > SMALL:
         return dims
-    named = ("dim_vendor", "dim_rate_code", "dim_payment_type", "dim_store_and_fwd", "dim_hour")
-    return {k: F.broadcast(d) if k in named else d for k, d in dims.items()}
+
+    def hold(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+        name, d = item
+        rows = d.limit(SMALL + 1).toArrow()  # Spark plans with Arrow's rows as they are, without Python
+        return name, F.broadcast(d.sparkSession.createDataFrame(rows, d.schema)) if rows.num_rows <= SMALL else d
+
+    with ThreadPoolExecutor(len(dims)) as pool:
+        return dict(pool.map(hold, dims.items()))
 
 
 def hours_of_trips(hours: DataFrame, staging: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def fact_trip(staging: DataFrame, dims: dict[str, DataFrame], existing: DataFram
     """Trips with the keys of their dimensions; rows without a match in one of them are left out.
 
     Dimensions hold a row per code, hour or day. Where they are written tables, or
-    come from ``sent_if_small``, Spark knows that and does not shuffle the trips.
+    come from ``held_if_small``, Spark knows that and does not shuffle the trips.
     """
     t = staging.withColumns({"__pickup": F.to_date("pickup_datetime"), "__dropoff": F.to_date("dropoff_datetime"), "__pickup_hour": F.hour("pickup_datetime").cast("short"), "__dropoff_hour": F.hour("dropoff_datetime").cast("short")})
     t = t.join(dims["dim_ingestion"].select("ingestion_id"), "ingestion_id")

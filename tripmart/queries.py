@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.prepare import prepare_raw
-from .plans import analytics, marts, profile, star, staging, validation
+from .plans import analytics, marts, profile, session, star, staging, validation
 from .schema import LOG, RAW_COLUMNS, SOURCE_COLUMNS
 from .sources import audit, ingest, parquet, raw, tables
 
@@ -88,6 +88,7 @@ class Model:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, main: int = 7):
+        session.jit_sized(spark)
         self.main = main
         self.log = parquet.stored(ingestion_log(spark, sf_dir), "audit-log")
         self.raw = raw_trips(spark, sf_dir)
@@ -101,7 +102,7 @@ class Model:
 
     @cached_property
     def dims(self) -> dict[str, DataFrame]:
-        return star.sent_if_small(star.dimensions(self.codes, self.log), self.codes)
+        return star.held_if_small(star.dimensions(self.codes, self.log), self.codes)
 
     @cached_property
     def fact(self) -> DataFrame:
