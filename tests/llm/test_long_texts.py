@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from tripmart.llm import chat, decontaminate, line_dedup, minhash, packing, quality, span_dedup, suffix_dedup, url_filter
+from tripmart.llm import chat, collocations, decontaminate, line_dedup, minhash, packing, quality, repair, span_dedup, suffix_dedup, url_filter
 from tests.llm.conftest import prose
+from tests.llm import test_collocations, test_repair
 from tests.llm.test_suffixes import brute
 from tripmart.llm.text import SLICE_BYTES
 
@@ -61,3 +62,12 @@ def test_others(spark, long, texts):
     assert row.loss_chars == len(texts[1]) and row.n_turns == 3
     url = url_filter.filter_urls(long.selectExpr("doc_id AS page_id", "concat('http://a.b/', text) AS url"), [("block", "b/")]).collect()
     assert {r.verdict for r in url} == {"block"} and all(np.isfinite(r.p_block) for r in url)
+
+
+def test_repair_and_collocations(long, texts):
+    roles = ["user", "user", "assistant"]
+    turns = long.selectExpr("1L AS conv_id", "CAST(doc_id AS INT) AS turn", "IF(doc_id = 2, 'assistant', 'user') AS role", "text")
+    (row,) = repair.repair(turns).collect()
+    assert tuple(row)[1:] == test_repair.plain(1, [(k, r, t) for k, (r, t) in enumerate(zip(roles, texts))])[0]
+    got = collocations.mine(long.selectExpr("'en' AS lang", "text"), 40).collect()
+    assert sorted(map(tuple, got)) == test_collocations.plain([("en", t) for t in texts], 40)
