@@ -60,3 +60,30 @@ def test_layers_agree(spark):
     assert {r.mismatch_count for r in validation.preserved_columns(m.staging, m.fact).collect()} == {0}
     assert m.fact.columns[0] == "raw_trip_id" and len(m.fact.columns) == 49 and len(m.staging.columns) == 56
     assert m.dims["dim_date"].where(F.col("full_date") == dt.date(2024, 1, 6)).first().is_weekend
+
+
+def test_dimensions_beyond_the_bound_give_the_same_fact(spark, monkeypatch):
+    from tests.conftest import SF
+    from tripmart.plans import star
+    from tripmart.queries import Model
+
+    held = Model(spark, SF)
+    want = sorted(map(str, held.fact.collect()))
+    assert all(d._jdf.queryExecution().logical().toString().startswith("ResolvedHint") or "UnresolvedHint" in d._jdf.queryExecution().logical().toString() for d in held.dims.values())
+    monkeypatch.setattr(star, "SMALL", 0)
+    assert sorted(map(str, Model(spark, SF).fact.collect())) == want
+
+
+def test_a_limit_that_the_session_sets_stays(spark):
+    from tripmart.plans.session import LIMIT, jit_sized
+
+    before = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "20000")
+        jit_sized(spark)
+        assert spark.conf.get(LIMIT) == "20000"
+        spark.conf.unset(LIMIT)
+        jit_sized(spark)
+        assert spark.conf.get(LIMIT) == "8000"
+    finally:
+        spark.conf.set(LIMIT, before)
