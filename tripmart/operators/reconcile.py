@@ -32,7 +32,7 @@ def differing(expected: DataFrame, actual: DataFrame, key: str, columns: list[st
     """The rows of both tables in buckets of ``key`` that are not equal in ``columns``, or not on both sides.
 
     Types have to be the same. Rows without a key are left out. The list of buckets is written, so
-    that Spark knows whether it can be sent to all tasks.
+    that Spark knows whether it can be sent to all tasks; where it is empty, neither table is read again.
     """
     kinds = lambda t: [(c, dict(t.dtypes)[c]) for c in [key, *columns]]
     if kinds(expected) != kinds(actual):
@@ -40,6 +40,8 @@ def differing(expected: DataFrame, actual: DataFrame, key: str, columns: list[st
     e, a = _digests(expected, key, columns, width).alias("e"), _digests(actual, key, columns, width).alias("a")
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("__n", "__high0", "__low0", "__high1", "__low1")]
     apart = stored(e.join(a, F.col("e.__bucket") == F.col("a.__bucket"), "full").where(~(same[0] & same[1] & same[2] & same[3] & same[4])).select(F.coalesce("e.__bucket", "a.__bucket").alias("__bucket")), "buckets")
+    if apart.isEmpty():
+        return expected.select(key, *columns).limit(0), actual.select(key, *columns).limit(0)
     some = lambda t: t.select(key, *columns).withColumn("__bucket", _bucket(key, width)).join(apart, "__bucket", "left_semi").drop("__bucket")
     return some(expected), some(actual)
 
