@@ -14,6 +14,8 @@ from tripmart.llm.text import mix, powers, word_hashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 RUN, MIN_WORDS, LONGEST, EVERY, MIN_BYTES, GRAM = 3, 8, 16, 8, 96, 26
+WIDE = ("\u3002".encode(), "\uff01".encode(), "\uff1f".encode())
+WORD = re.compile(rb"[^\x20\x09-\x0d]+?(?:(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)|(?![^\x20\x09-\x0d]))")
 
 
 def hashed(word: bytes) -> int:
@@ -23,14 +25,14 @@ def hashed(word: bytes) -> int:
 class Plain:
     """One text: its words, pieces, and both kinds of runs as (key, place, first word, last word + 1)."""
 
-    def __init__(self, text):
+    def __init__(self, text, min_words=MIN_WORDS):
         self.body = (text or "").encode()
-        found = list(re.finditer(rb"[^\x20\x09-\x0d]+", self.body))
+        found = list(WORD.finditer(self.body))
         self.starts = [m.start() for m in found]
         self.words = [m[0].translate(LOWER) for m in found]
         n = len(found)
         h = [hashed(w) for w in self.words]
-        sentence = [k == 0 or found[k - 1][0][-1:] in b".!?" or b"\n" in self.body[found[k - 1].end() : found[k].start()] for k in range(n)]
+        sentence = [k == 0 or found[k - 1][0].endswith((b".", b"!", b"?", *WIDE)) or b"\n" in self.body[found[k - 1].end() : found[k].start()] for k in range(n)]
         opens = list(sentence)
         at = [k for k in range(n) if sentence[k]] + [n]
         for a, b in zip(at, at[1:]):
@@ -45,7 +47,7 @@ class Plain:
             a = self.edges[p]
             for q in range(p + 1, pieces + 1):
                 b = self.edges[q]
-                if q >= p + RUN and (b - a >= MIN_WORDS or sum(map(len, self.words[a:b])) >= MIN_BYTES):
+                if q >= p + RUN and (b - a >= min_words or sum(map(len, self.words[a:b])) >= MIN_BYTES):
                     stops[p] = q
                     self.runs.append((("pieces", *self.words[a:b]), p << 6, a, b))
                     break
@@ -89,9 +91,9 @@ class Plain:
         return removed, body.decode()
 
 
-def plain(rows):
+def plain(rows, min_words=MIN_WORDS):
     often = collections.Counter(i for i, _ in rows)
-    texts = {t: Plain(t) for _, t in rows}
+    texts = {t: Plain(t, min_words) for _, t in rows}
     own = lambda i, t: 0 if i is not None and often[i] == 1 else None if t is None else (xxhash.xxh64(t.encode(), 42).intdigest() + 2**63) % 2**64 - 2**63
     order = lambda p: (p[0] is not None, p[0] or 0, -(2**64) if p[1] is None else p[1], p[2])
     first, n = {}, collections.Counter()
@@ -107,8 +109,8 @@ def plain(rows):
     return out
 
 
-def got(docs):
-    return collections.Counter((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in span_dedup.drop_repeats(docs).collect())
+def got(docs, **least):
+    return collections.Counter((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in span_dedup.drop_repeats(docs, **least).collect())
 
 
 def test_constants():
@@ -132,3 +134,29 @@ def test_random_rows(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain(rows)
     assert got(docs) == want and sum(r[2] > 0 for r in want) > 5
+
+
+def test_without_a_least_length_every_repeated_run_goes(spark, rng):
+    head = "Alpha beta. Gamma delta. Eps zeta."
+    rows = [(k, f"{head} {prose(rng, 30)}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == plain(rows) and all(text.startswith(head) for *_, text in got(docs))
+    out = got(docs, min_words=0)
+    assert out == plain(rows, 0)
+    assert sorted((i, n) for i, _, n, text in out if not text.startswith(head)) == [(1, 3), (2, 3), (3, 3)]
+
+
+def test_texts_without_spaces(spark):
+    """Sentences end at ideographic and full-width stops, alone, doubled, at a line's end and beside spaces."""
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    body = "".join(han(rng.randint(8, 30)) + rng.choice("\u3002\uff01\uff1f") for _ in range(20))
+    rows = [(k, body + c) for k, c in enumerate("abcd")]
+    rows += [(10 + k, "".join(han(9) + "\u3002" for _ in range(20))) for k in range(3)]
+    rows += [(20, "\u3002"), (21, "\u3002\u3002 \uff01\n\uff1f"), (22, body[:200] + " Plain words. " + body[200:]), (23, body.replace("\u3002", "\u3002\n")), (24, None), (25, "\uff01" * 60), (26, "\uff01" * 61)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = got(docs)
+    assert out == plain(rows)
+    left = {i: text for i, _, _, text in out}
+    assert left[0] == rows[0][1] and all(len(left[k]) < 40 for k in (1, 2, 3))
+    assert all(left[10 + k] == rows[4 + k][1] for k in range(3))

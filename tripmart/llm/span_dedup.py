@@ -1,11 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 A text is taken as sentences: they end at a word with a closing ``.``, ``!`` or
-``?`` and at a line end. Those of more than 16 words are several pieces, which
+``?``, at a line end, and behind each ideographic full stop and full-width ``!``
+or ``?`` (U+3002, U+FF01, U+FF1F), which end a word too, since no space follows them. Those of more than 16 words are several pieces, which
 end behind every word whose hash is a multiple of eight, so that a word put in
 or left out moves no other border. From every piece a run goes over three
-consecutive ones and on until it has eight words, or 96 bytes of words for texts
-without spaces; it is hashed (words compared with A-Z lower-cased).
+consecutive ones and on until it has ``min_words`` (8), or ``min_bytes`` (96) of
+words for texts without spaces; it is hashed (words compared with A-Z lower-cased).
+With ``min_words=0`` every run of three is hashed as it is, and "Yes. No. Yes."
+goes wherever it is repeated.
 
 Runs of whole pieces can miss a passage that stands inside long sentences. So
 the run of 26 words with the smallest hash among 26 neighbouring ones is hashed
@@ -49,11 +52,23 @@ _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
+def _wide_ends(buf: np.ndarray) -> np.ndarray:
+    """Places behind U+3002, U+FF01 and U+FF1F."""
+    a, b, c = buf[:-2], buf[1:-1], buf[2:]
+    stop = (a == 0xE3) & (b == 0x80) & (c == 0x82) | (a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F))
+    return np.flatnonzero(stop) + 3
+
+
 class Pieces:
     """Words of a slice of rows and the pieces they make; indices of words and pieces run over all rows."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES):
         self.starts, ends, self.first = words(buf, offsets)
+        wide = _wide_ends(buf)
+        if len(wide):
+            self.starts = np.union1d(self.starts, wide[~np.isin(wide, ends)])
+            ends = np.union1d(ends, wide)
+            self.first = np.searchsorted(self.starts, offsets)
         n = len(self.starts)
         if not n:
             self.hashes, self.edges, self.real, self.own, self.stop = np.empty(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, bool), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
@@ -62,7 +77,7 @@ class Pieces:
         lines = np.concatenate([[0], np.cumsum(buf == 10)])
         opens = np.zeros(n, bool)
         opens[0] = True
-        opens[1:] = _END[buf[ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[ends[:-1]])
+        opens[1:] = _END[buf[ends[:-1] - 1]] | np.isin(ends[:-1], wide) | (lines[self.starts[1:]] > lines[ends[:-1]])
         opens[self.first[:-1][np.diff(self.first) > 0]] = True
         size = np.diff(np.append(np.flatnonzero(opens), n))
         long = np.repeat(size > LONGEST, size)
@@ -75,7 +90,7 @@ class Pieces:
         self.own = np.searchsorted(at, self.first)
         #: The piece behind the run from each piece, or -1 where the row ends before.
         size = np.concatenate([[0], np.cumsum(ends - self.starts)])[self.edges]
-        enough = np.minimum(np.searchsorted(self.edges, at + MIN_WORDS), np.searchsorted(size, size[:-1] + MIN_BYTES))
+        enough = np.minimum(np.searchsorted(self.edges, at + min_words), np.searchsorted(size, size[:-1] + min_bytes))
         stop = np.maximum(np.arange(len(at)) + RUN, enough)
         self.stop = np.where(stop <= np.repeat(self.own[1:], np.diff(self.own)), stop, -1)
 
@@ -130,7 +145,7 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return docs.join(shared, F.col("doc_id") == F.col(often), "left").withColumn(name, text).drop(often)
 
 
-def spans(docs: DataFrame, second: bool = True) -> DataFrame:
+def spans(docs: DataFrame, second: bool = True, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, text_hash, the place a run starts at, and its hash, or two; places are 64 times a piece's number, or a word's with its ties and a 1."""
     hashes = ("span", "span2")[: 1 + second]
 
@@ -138,7 +153,7 @@ def spans(docs: DataFrame, second: bool = True) -> DataFrame:
         none = np.empty(0, np.int64)
         rows, places, found = [none], [none], [[none] for _ in hashes]
         for lo, _, buf, offsets in slices(batch.column("text")):
-            p = Pieces(buf, offsets)
+            p = Pieces(buf, offsets, min_words, min_bytes)
             h = p.hashes
             up, down = powers(len(h) + 1)
             sums = np.zeros((len(hashes), len(h) + 1), np.uint64)
@@ -160,28 +175,31 @@ def spans(docs: DataFrame, second: bool = True) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.col("text").cast("string"), "text_hash"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, place long, " + ", ".join(f"{c} long" for c in hashes))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, text_hash, and the places (``runs``) of its non-first runs."""
-    often = spans(docs, second=False).groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span")
-    found = cut(spans(docs).join(often, "span", "left_semi"), "repeated-runs")
+    often = spans(docs, False, min_words, min_bytes).groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span")
+    found = cut(spans(docs, True, min_words, min_bytes).join(often, "span", "left_semi"), "repeated-runs")
     span = ["span", "span2"]
     heads = found.groupBy(*span).agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*span, "head")
     first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")) & (F.col("place") == F.col("head.place"))
     return found.join(heads, span).where(~first).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("runs"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the kept text, and n_sentences and n_removed."""
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """All columns of ``docs`` with the kept text, and n_sentences and n_removed.
+
+    Runs go on until they have ``min_words`` words or ``min_bytes`` bytes of them; 0 of either sets no least length.
+    """
     docs = docs.drop("n_sentences", "n_removed")
     own_hash, gone_id, gone_hash, gone_runs = fresh(docs, "own_hash", "gone_id", "gone_hash", "gone_runs")
     names, rows = docs.columns, keyed(docs, own_hash)
-    gone = repeated(rows.select("doc_id", "text", F.col(own_hash).alias("text_hash"))).toDF(gone_id, gone_hash, gone_runs)
+    gone = repeated(rows.select("doc_id", "text", F.col(own_hash).alias("text_hash")), min_words, min_bytes).toDF(gone_id, gone_hash, gone_runs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         runs = batch.column(gone_runs).to_pylist()
         for lo, hi, buf, offsets in slices(batch.column("text")):
-            p = Pieces(buf, offsets)
+            p = Pieces(buf, offsets, min_words, min_bytes)
             total[lo:hi] = np.diff(p.own)
             for row in range(lo, hi):
                 a, b = offsets[row - lo], offsets[row - lo + 1]
