@@ -15,7 +15,8 @@ fingerprint turns their probes away.
 Defined results: null and empty text is one empty line; rows of one doc_id are
 one document for the counts, and lose the same lines; a null doc_id counts as
 no document and is never a keeper, and such rows are told apart by their texts; extra columns are kept as they are, but for
-n_lines and n_dropped, which are replaced; an empty table gives an empty result.
+n_lines and n_dropped, which are replaced; an empty table gives an empty result. A doc_id that is no
+integer raises an error.
 """
 
 from __future__ import annotations

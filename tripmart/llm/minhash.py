@@ -23,6 +23,7 @@ words, or null, the set is empty and linked with nothing; a null doc_id has no
 component and is kept; rows of one doc_id are one document, but each row is
 placed, and kept or not, by its own text; extra columns are ignored by
 ``near_duplicates`` and kept by ``keep_one``; an empty table gives an empty result.
+A doc_id that is no integer raises an error.
 """
 
 from __future__ import annotations
