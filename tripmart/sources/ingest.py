@@ -21,6 +21,7 @@ from ..operators.prepare import prepare_raw
 from . import audit, files
 from .parquet import check_file, parquet_manifest, read_trips
 from .raw import AlreadyLoaded, assign_trip_ids, delete_ingestion, fence, publish_raw, stage_raw
+from .tables import ROW_GROUP_BYTES
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def ingest(spark: SparkSession, path: str, taxi_type: str, period_year: int, per
             _wait_for_earlier(spark, root, ingestion_id, run, lease)
             if loaded():
                 raise AlreadyLoaded
-            prepare(read_trips(spark, path)).write.parquet(staged)
+            prepare(read_trips(spark, path)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(staged)  # a file of one large row group is dealt to many tasks from here
             prepared = spark.read.parquet(staged)
             read = prepared.count()
             written = stage_raw(assign_trip_ids(prepared, audit.trip_ids(spark, log_path, ingestion_id)[0]), ingestion_id, raw_path)

@@ -42,9 +42,9 @@ class Fenced(RuntimeError):
 
 
 def stage_raw(t: DataFrame, ingestion_id: int, path: str) -> tables.Written:
-    """Write prepared trips beside the table, sorted by trip id inside files."""
+    """Write prepared trips beside the table. Ids have to rise inside partitions, as ``assign_trip_ids`` gives them: nothing is sorted."""
     tagged = t.withColumns({"ingestion_id": F.lit(ingestion_id).cast("long"), "loaded_at": F.current_timestamp().cast("timestamp_ntz")})
-    return tables.write(tagged, path, ["ingestion_id"], ["raw_trip_id"], name=f"{ingestion_id}-")
+    return tables.write_partition(tagged, path, ["ingestion_id"], _part(ingestion_id), ["raw_trip_id"], name=f"{ingestion_id}-")
 
 
 def publish_raw(spark: SparkSession, path: str, written: tables.Written, ingestion_id: int, identity: list | None = None) -> None:
@@ -60,8 +60,8 @@ def publish_raw(spark: SparkSession, path: str, written: tables.Written, ingesti
 
 
 def append_raw(t: DataFrame, ingestion_id: int, path: str) -> int:
-    """Append prepared trips as one ingestion; the number of rows written."""
-    written = stage_raw(t, ingestion_id, path)
+    """Append prepared trips, in any order, as one ingestion; the number of rows written."""
+    written = stage_raw(t.sortWithinPartitions("raw_trip_id"), ingestion_id, path)
     publish_raw(t.sparkSession, path, written, ingestion_id)
     return written.rows
 

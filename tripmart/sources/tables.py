@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -96,16 +96,39 @@ def write(t: DataFrame, path: str, partition_by: list[str] | None = None, sort_b
     spark, keys = t.sparkSession, partition_by or []
     folder = f"__version={name}{uuid.uuid4().hex}"
     seen = Observation()
-    out = t.select(*[F.col(f"`{c}`") for c in t.columns if c not in keys], *keys).observe(seen, F.count(F.lit(1)).alias("n"))
+    out = _keys_last(t, keys).observe(seen, F.count(F.lit(1)).alias("n"))
     schema = out.schema
-    writer = (out.sortWithinPartitions(*keys, *sort_by) if sort_by else out).write
+    writer = _indexed((out.sortWithinPartitions(*keys, *sort_by) if sort_by else out).write, sort_by)
+    (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/{folder}")
+    parts = _found(spark, f"{path}/{folder}", len(keys)) if keys else [""]
+    return Written(folder, schema.json(), keys, {p: {"folder": folder} for p in parts}, seen.get["n"])
+
+
+def write_partition(t: DataFrame, path: str, partition_by: list[str], partition: str, sort_by: list[str], name: str = "") -> Written:
+    """Write rows of one partition, named by its folder, beside the table, as ``write`` does.
+
+    Rows stream into their files: those of each task come in the order of ``sort_by``
+    already, and none is sorted or dealt by partition, so a task holds no more of a large load than of a small one.
+    """
+    spark, folder, seen = t.sparkSession, f"__version={name}{uuid.uuid4().hex}", Observation()
+    out = _keys_last(t, partition_by)
+    _indexed(out.drop(*partition_by).observe(seen, F.count(F.lit(1)).alias("n")).write, sort_by).parquet(f"{path}/{folder}/{partition}")
+    files.publish(spark, f"{path}/{folder}/_SUCCESS", "")  # ``vacuum`` looks for it
+    rows = seen.get["n"]
+    return Written(folder, out.schema.json(), partition_by, {partition: {"folder": folder}} if rows else {}, rows)
+
+
+def _keys_last(t: DataFrame, keys: list[str]) -> DataFrame:
+    return t.select(*[F.col(f"`{c}`") for c in t.columns if c not in keys], *keys)
+
+
+def _indexed(writer: DataFrameWriter, sort_by: list[str] | None) -> DataFrameWriter:
+    """Small row groups, and Bloom filters for the columns that rows are sorted by."""
     if sort_by:
         writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
         for c in sort_by:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/{folder}")
-    parts = _found(spark, f"{path}/{folder}", len(keys)) if keys else [""]
-    return Written(folder, schema.json(), keys, {p: {"folder": folder} for p in parts}, seen.get["n"])
+    return writer
 
 
 def discard(spark: SparkSession, path: str, written: Written) -> None:
