@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -87,21 +87,25 @@ def _found(spark: SparkSession, place: str, depth: int) -> list[str]:
     return here if depth == 1 else [f"{n}/{below}" for n in here for below in _found(spark, f"{place}/{n}", depth - 1)]
 
 
-def write(t: DataFrame, path: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None, name: str = "") -> Written:
+def write(t: DataFrame, path: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None, name: str = "", finished: bool = True) -> Written:
     """Write rows beside the table.
 
     ``sort_by`` orders the rows of each file by columns that queries look up, in
-    smaller row groups and with Bloom filters for them.
+    smaller row groups and with Bloom filters for them. A folder that is not ``finished`` lacks its
+    mark, so that ``vacuum`` leaves it alone.
     """
     spark, keys = t.sparkSession, partition_by or []
     folder = f"__version={name}{uuid.uuid4().hex}"
     seen = Observation()
     out = _keys_last(t, keys).observe(seen, F.count(F.lit(1)).alias("n"))
-    schema = out.schema
-    writer = _indexed((out.sortWithinPartitions(*keys, *sort_by) if sort_by else out).write, sort_by)
-    (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/{folder}")
+    _save(out, f"{path}/{folder}", keys, sort_by, **({} if finished else {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}))
     parts = _found(spark, f"{path}/{folder}", len(keys)) if keys else [""]
-    return Written(folder, schema.json(), keys, {p: {"folder": folder} for p in parts}, seen.get["n"])
+    return Written(folder, out.schema.json(), keys, {p: {"folder": folder} for p in parts}, seen.get["n"])
+
+
+def _save(t: DataFrame, place: str, keys: list[str], sort_by: list[str] | None, mode: str = "error", **options: str) -> None:
+    writer = _indexed((t.sortWithinPartitions(*keys, *sort_by) if sort_by else t).write.options(**options), sort_by)
+    (writer.partitionBy(*keys) if keys else writer).mode(mode).parquet(place)
 
 
 def write_partition(t: DataFrame, path: str, partition_by: list[str], partition: str, sort_by: list[str], name: str = "") -> Written:
@@ -188,17 +192,26 @@ def upsert_table(source: DataFrame, path: str, keys: list[str], partition_by: li
     ``source`` has one row a key, and a key never moves to another partition.
     Partitions without a row in ``source`` are neither read nor written. If
     another writer replaces a touched partition meanwhile, it is a ``Conflict``.
+
+    ``source`` is computed once, into the new folder, which tells the partitions. Keys alone then tell
+    whether old rows stay; only if some do, whole old rows are joined and added.
     """
     from ..operators.upsert import upsert
 
     spark = source.sparkSession
     base = current(spark, path)
-    touched = source.select(*partition_by).distinct().collect()  # a row a partition
-    target = None
-    if base is not None and touched:
-        one = lambda row: reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in partition_by])
-        target = read_table(spark, path, base).where(reduce(or_, map(one, touched)))
-    w = write(upsert(target, source, keys), path, partition_by, sort_by)
+    base = base if base and base.schema else None
+    if base is not None:  # types that hold the values of both
+        kinds = upsert(read_table(spark, path, base), source, keys).schema
+        source = source.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds.fields])
+    w = write(source, path, partition_by, sort_by, finished=False)
+    if base is not None and (old := {p: v for p, v in base.parts.items() if p in w.parts}):
+        target, new = read_table(spark, path, replace(base, parts=old)), read_table(spark, path, Version(0, w.schema, w.partition_by, w.parts))
+        same = reduce(and_, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys])
+        rest = lambda t: t.alias("t").join(new.select(*[F.col(f"`{k}`") for k in keys]).alias("s"), same, "left_anti")
+        if rest(target.select(*[F.col(f"`{k}`") for k in keys])).count():
+            _save(rest(target).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in new.schema.fields]), f"{path}/{w.folder}", w.partition_by, sort_by, mode="append")
+    files.publish(spark, f"{path}/{w.folder}/_SUCCESS", "")
 
     def change(now: Version | None) -> Version:
         before, after = (v.parts if v else {} for v in (base, now))
